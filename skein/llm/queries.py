@@ -24,6 +24,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.found(sft, dpo, pairs.fit(sft, dpo))
 
 
+def _splits(spark: SparkSession, sf_dir: str) -> dict:
+    return {
+        (stage, split): (_table(spark, sf_dir, f"{stage}_{split}"), column)
+        for stage, column in (("sft", "messages"), ("dpo", "prompt"))
+        for split in ("val", "train")
+    }
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import overlap
+
+    _batches(spark)
+    return overlap.found(spark, _splits(spark, sf_dir))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import overlap
+
+    _batches(spark)
+    return overlap.report(spark, _splits(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm import language
 
@@ -100,7 +122,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p4_found, p4_documents, p4_segments, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_statistics)
+    for f in (p1_found, p2_found, p2_report, p4_found, p4_documents, p4_segments, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_statistics)
 }
 
 
