@@ -70,6 +70,33 @@ def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.segments(docs, language.fit(docs)).where(F.col("n_words") >= language.MIN_WORDS)
 
 
+def p5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import mixture
+
+    goals = _table(spark, sf_dir, "mix_targets")
+    sft = mixture.sized(_table(spark, sf_dir, "sft_train"), "messages")
+    dpo = mixture.sized(_table(spark, sf_dir, "dpo_train"), "prompt", ("chosen", "rejected"))
+    return mixture.mixture(sft, goals, "sft").unionByName(mixture.mixture(dpo, goals, "dpo"))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import mixture
+
+    return mixture.shares(p5_mixture(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import packing
+
+    return packing.packed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pack_specs"))
+
+
+def p6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import packing
+
+    return packing.summary(p6_packed(spark, sf_dir), _table(spark, sf_dir, "pack_specs"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm import bpe
 
@@ -122,7 +149,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_report, p4_found, p4_documents, p4_segments, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_statistics)
+    for f in (p1_found, p2_found, p2_report, p4_found, p4_documents, p4_segments, p5_mixture, p5_shares, p6_packed, p6_summary, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_statistics)
 }
 
 
