@@ -46,6 +46,20 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(spark, _splits(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import scans
+
+    _batches(spark, 500)
+    return scans.Scans(spark, _table(spark, sf_dir, "textbook_pages")).lines()
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skein.llm import scans
+
+    _batches(spark, 500)
+    return scans.Scans(spark, _table(spark, sf_dir, "textbook_pages")).paragraphs()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm import language
 
@@ -149,7 +163,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_report, p4_found, p4_documents, p4_segments, p5_mixture, p5_shares, p6_packed, p6_summary, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_statistics)
+    for f in (p1_found, p2_found, p2_report, p3_found, p3_paragraphs, p4_found, p4_documents, p4_segments, p5_mixture, p5_shares, p6_packed, p6_summary, p7_ids, p7_round_trip, p8_found, p8_report, p9_found, p9_statistics)
 }
 
 
