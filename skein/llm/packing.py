@@ -27,6 +27,7 @@ from skein.llm.ranks import ranked, seeded
 SEED = 30
 GROUP = 8  # containers of a step group
 MAX_CAPACITY = 1 << 20
+MAX_SPECS = 100  # container sizes
 MAX_BROADCAST = 400_000  # intervals of the plan that may be broadcast
 
 
@@ -127,9 +128,14 @@ def step_group(container, n_containers):
 
 def pieces(docs: DataFrame, specs: DataFrame) -> DataFrame:
     """``(spec, capacity, doc_id, piece_no, start, length)``: a row for each piece of each text and spec."""
-    kinds = F.broadcast(specs.where("unit = 'chars' and capacity > 0").select("spec", F.col("capacity").cast("int")))  # a fixed, small table
+    kinds = specs.where("unit = 'chars' and capacity > 0").select("spec", F.col("capacity").cast("int")).limit(MAX_SPECS + 1).collect()
+    if len(kinds) > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} container sizes")
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("n_chars").cast("bigint"), F.lit(0)).alias("n"))
-    both = texts.join(kinds)  # one row per container kind, not a product of large tables
+    each = F.array(*[F.struct(F.lit(r["spec"]).alias("spec"), F.lit(r["capacity"]).alias("capacity")) for r in kinds])
+    if not kinds:
+        each = F.array().cast("array<struct<spec:string,capacity:int>>")
+    both = texts.select("doc_id", "n", F.inline(each))
     last = F.greatest(F.ceil(F.col("n") / F.col("capacity")) - 1, F.lit(0))
     cut = both.select("spec", "capacity", "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("piece_no"))
     start = F.col("piece_no") * F.col("capacity")
