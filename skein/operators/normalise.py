@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.functions.staging import stage
 from skein.operators import pools as P
 
 SEED, THINK_SHARE = 1337, 0.75
@@ -134,20 +135,15 @@ def dolly(df: DataFrame) -> DataFrame:
     return df.where(_given(i, r) & ~closed).withColumn("messages", exchange(prompt, r)).withColumn("route", _route("category", routes))
 
 
-def _stage(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns behind a generator, past which the optimizer writes out no expression again."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _maths(df: DataFrame) -> DataFrame:
     """Rendered from the columns _q, _steps, _final and _fallback; staged, so that no expression is written out many times."""
     think = X.chance(f"{SEED}-think", F.col("id")) < THINK_SHARE
     split = F.coalesce((F.col("_steps") != "") & (F.col("_final") != ""), F.lit(False))
     mode = F.when(split & think, F.lit("think")).when(split, F.lit("direct")).otherwise(F.lit("plain"))
-    staged = _stage(df, _mode=mode)
+    staged = stage(df, _mode=mode)
     reply = F.when(F.col("_mode") == "think", X.think_reply(F.col("_steps"), F.col("_final"))).when(F.col("_mode") == "direct", F.col("_final")).otherwise(F.coalesce("_fallback", F.lit("")))
     prompt = F.when(F.col("_mode") == "think", _draw(P.THINK_PROMPTS, "prompt")).when(F.col("_mode") == "direct", _draw(P.DIRECT_PROMPTS, "prompt")).otherwise(_draw(P.MATH_PROMPTS, "prompt"))
-    out = _stage(staged, _reply=reply, _prompt=prompt).where("_q <> '' and coalesce(_reply, '') <> ''")
+    out = stage(staged, _reply=reply, _prompt=prompt).where("_q <> '' and coalesce(_reply, '') <> ''")
     return out.withColumn("messages", exchange(F.concat("_prompt", F.lit("\n\n"), "_q"), F.col("_reply")))
 
 
@@ -160,7 +156,7 @@ def gsm8k(df: DataFrame) -> DataFrame:
 
 def _split(df: DataFrame) -> DataFrame:
     """Adds _steps and _final of the worked solution in _fallback."""
-    staged = _stage(_stage(df, _parts=X.solution_parts(F.col("_fallback"))), _split=X.worked_solution(F.col("_parts")))
+    staged = stage(stage(df, _parts=X.solution_parts(F.col("_fallback"))), _split=X.worked_solution(F.col("_parts")))
     return staged.withColumn("_steps", F.col("_split.steps")).withColumn("_final", F.col("_split.final"))
 
 

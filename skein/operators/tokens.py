@@ -19,10 +19,8 @@ MIN_ROOM, HEAD_ROOM = 48, 64
 
 def byte_ids(c: Column) -> Column:
     """The UTF-8 bytes of a text as ids, without Python."""
-    hexes = F.hex(F.encode(c, "UTF-8"))
-    n = F.octet_length(c)
-    at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    return F.when(n > 0, F.transform(at, lambda i: F.conv(hexes.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit("(..)"), F.lit(1))
+    return F.transform(pairs, lambda p: F.conv(p, 16, 10).cast("int"))
 
 
 def storage_bytes(vocab_size: int) -> int:
@@ -213,11 +211,13 @@ def loss_weights(ids: Column, mask: Column, eos_share: float, cap: float = 1e9,
     closes = (supervised > 1) & (F.element_at(ids, -1) == EOS) & (F.element_at(mask, -1) == 1)
     end = F.least(F.lit(float(cap)), F.greatest(F.lit(1.0), F.lit(eos_share) * (supervised - 1) / (1 - eos_share)))
     n = F.size(mask)
-    weights = F.transform(mask, lambda m, i: F.when(closes & (i == n - 1), end).otherwise(m.cast("double")))
+    plain = F.transform(mask, lambda m: m.cast("double"))
+    last = F.when(closes, end).otherwise(F.element_at(plain, -1))
+    weights = F.concat(F.slice(plain, F.lit(1), n - 1), F.array(last))
     if not per_example:
         return weights
     total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
-    return F.transform(weights, lambda w: F.when(total > 0, w / total).otherwise(F.lit(0.0)))
+    return F.zip_with(weights, F.array_repeat(total, n), lambda w, s: F.when(s > 0, w / s).otherwise(F.lit(0.0)))
 
 
 def document_ids(ids: Column, eos: int = EOS) -> Column:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from skein.plans import corpus, evaluation, mixtures, tokens  # noqa: F401
+from skein.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
