@@ -276,3 +276,13 @@ def g22_geometry(t):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     q = lambda p: F.percentile("norm", F.lit(p))
     return t("embeddings").select("label", norm.alias("norm")).groupBy("label").agg(F.count("*").alias("n"), q(0.25).alias("lower_quartile"), q(0.5).alias("median"), q(0.75).alias("upper_quartile"))
+
+
+@query("select event_id, user_id, event_type, value from events where value > 50 and event_type <> 'view'")
+def k3_stream_filter(t):
+    """A file stream of the event table, filtered and written as it arrives."""
+    from skein.streaming import jobs
+
+    table = t("events")
+    stream = jobs.read_files(table.sparkSession, table.inputFiles()[0].rsplit("/", 1)[0] + "/*events*" if len(table.inputFiles()) == 1 else table.inputFiles()[0].rsplit("/", 1)[0], table.schema)
+    return jobs.run_to_table(stream.where("value > 50 and event_type <> 'view'").select("event_id", "user_id", "event_type", "value"))
