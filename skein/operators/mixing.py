@@ -80,24 +80,38 @@ def resample(rows: DataFrame, task: str, key: str, draws: dict[str, int], seed:
     return used.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
 
 
-def cap_ratio(rows: DataFrame, capped: Column, key: str, seed: int, share: float, buckets: int = 1) -> DataFrame:
+def _carried(df: DataFrame, value: Column, fold, inclusive: bool, out: str) -> DataFrame:
+    """Adds the fold (min or max) of the values up to a row, or before it, in the order of (_b, _h, _key).
+
+    Each bucket is a window of its own; what comes from the buckets before it is one
+    number for each of the at most 256 buckets.
+    """
+    held = df.withColumn("_v", value)
+    ends = held.groupBy("_b").agg(fold("_v").alias("_e"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_b", fold("_e").over(before).alias("_c"))
+    own = Window.partitionBy("_b").orderBy("_h", "_key").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    both = held.withColumn("_w", fold("_v").over(own)).join(F.broadcast(carry), "_b")
+    pick = F.least if fold is F.min else F.greatest
+    return both.withColumn(out, pick("_w", "_c")).drop("_v", "_w", "_c")
+
+
+def cap_ratio(rows: DataFrame, capped: Column, key: str, seed: int, share: float) -> DataFrame:
     """Keeps rows of the capped class only while they are at most ``share`` of what is kept, in hashed order.
 
     With A others before it, the t-th capped row is admitted exactly if the running
     total u_t = t + min(0, min over s <= t of floor(A_s * c) + 1 - s) rises, where
-    c = share / (1 - share).  The order is total by definition; ``buckets`` > 1 applies
-    the rule within hashed buckets, so that no task holds all rows.
+    c = share / (1 - share).  Sums, the minimum and the maximum are carried over
+    ranges of the hash, so no task holds all rows.
     """
     c = share / (1 - share)
-    h = rows.withColumn("_h", seeded_hash(seed, F.col(key))).withColumn("_un", capped.cast("int"))
-    b = h.withColumn("_b", F.pmod(F.conv(F.substring("_h", 1, 4), 16, 10).cast("bigint"), F.lit(buckets)))
-    w = Window.partitionBy("_b").orderBy("_h", key)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    counted = b.withColumn("_a", F.sum(1 - F.col("_un")).over(upto)).withColumn("_t", F.sum("_un").over(upto))
-    low = counted.withColumn("_m", F.min(F.when(F.col("_un") == 1, F.floor(F.col("_a") * c) + 1 - F.col("_t"))).over(upto))
+    marked = rows.withColumn("_h", seeded_hash(seed, F.col(key))).withColumn("_key", F.col(key)).withColumn("_un", F.coalesce(capped.cast("int"), F.lit(0)))
+    counted = running(running(marked, ["_h", "_key"], 1 - F.col("_un"), out="_a"), ["_h", "_key"], F.col("_un"), out="_s")
+    counted = counted.withColumn("_t", F.col("_s") + F.col("_un")).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+    low = _carried(counted, F.when(F.col("_un") == 1, F.floor(F.col("_a") * c) + 1 - F.col("_t")), F.min, True, "_m")
     level = low.withColumn("_u", F.when(F.col("_un") == 1, F.col("_t") + F.least(F.lit(0), F.col("_m"))))
-    before = F.coalesce(F.max("_u").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return level.withColumn("_p", before).where((F.col("_un") == 0) | (F.col("_u") > F.col("_p"))).select(*rows.columns)
+    top = _carried(level, F.col("_u"), F.max, False, "_p")
+    return top.where((F.col("_un") == 0) | (F.col("_u") > F.coalesce("_p", F.lit(0)))).select(*rows.columns)
 
 
 def cap_heads(rows: DataFrame, task: str, head: str, key: str, caps: dict[str, float], seed: int) -> DataFrame:
