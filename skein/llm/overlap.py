@@ -2,18 +2,20 @@
 
 Every record becomes its sequence of words; equal sequences form a class, of
 which one record stands for all.  Each class is fingerprinted by winnowing: of
-every ``WINDOW`` consecutive ``GRAM``-word hashes the smallest is kept, where
-grams common over all splits order last, so that a shared run of
-``GRAM + WINDOW - 1`` words always shares a kept fingerprint and boilerplate is
-kept only where a window holds nothing else.  Fingerprints are joined across the
+every ``WINDOW`` consecutive rolling hashes of ``GRAM`` words the smallest is kept,
+where grams common among the hold-out records order last, so that a shared run of
+``SPAN`` words always shares a kept fingerprint.  Fingerprints are joined across the
 splits together with a hash of the record's numbers (records that differ in a
 number are different), collinear seeds are chained, and the chains extended by an
 alignment of the words.
 
-Exactness: within ``EDITS`` of n words at most e = floor(n * EDITS) words differ;
-a record whose words hold e + 1 disjoint runs with an uncommon gram shares an
-uncommon fingerprint with each partner, so its common ones need not be joined;
-any other record is joined by all of its fingerprints.
+A training record is cut into spans of ``SPAN`` words, each with one kept
+fingerprint.  A partner differs in at most e words (``EDITS`` of the longer record),
+each of which spoils one span, so all spans but e share their fingerprint with it.
+Records whose spans meet fewer hold-out keys than that are left out in the pass that
+reads them, pairs that share fewer before texts are fetched.  Keys of more than
+``HOT_KEY`` training classes are left out of a record that has enough spans without
+them (its bound falls by as many); others are joined by all their keys.
 
 Defined results: null, empty and wordless records and those below ``MIN_WORDS``
 words have no partner; other columns are ignored; repeated deliveries count once,
@@ -34,16 +36,19 @@ from pyspark.sql import functions as F
 from skein.llm.chat import parse
 from skein.operators.workspace import shared_folder
 
-GRAM, WINDOW = 3, 4
+GRAM, WINDOW = 5, 2
+SPAN = GRAM + WINDOW - 1
+HOT_KEY = 1000  # training classes beyond which a key is hot
 MIN_WORDS, EDITS = 12, 0.1
-COMMON_SHARE = 0.001  # share of a part's records from which a gram counts as common
+COMMON_SHARE = 0.001  # occurrences for each record of a part from which a gram counts as common
+SIFT_BITS = (1 << 16, 1 << 28)  # least and most bits of the sieve of hold-out keys: at most 32 MB, however large the splits
 MEMO_WORDS = 400_000
 
 _WORD = re.compile(r"[^\W_]+")
 _APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`](?=\w)")
 _NUMBER = re.compile(r"\d+")
 RECORD_SCHEMA = (
-    "stage string, split string, row_id bigint, source string, class binary, numbers bigint, n int, text string, seeds array<bigint>, places array<int>, need boolean"
+    "stage string, split string, row_id bigint, source string, class binary, numbers bigint, n int, text string, seeds array<bigint>, places array<int>, spans int"
 )
 
 
@@ -95,68 +100,142 @@ class Hasher:
         return g
 
 
-def winnow(grams: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, whether common) of the kept grams: the least of every WINDOW, common ones last, the rightmost of equals."""
-    n = len(grams)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    is_common = np.zeros(n, bool)
-    if len(common):
-        at = np.searchsorted(common, grams)
-        at[at == len(common)] = 0
-        is_common = common[at] == grams
-    order = (grams >> np.uint64(1)) | (is_common.astype(np.uint64) << np.uint64(63))
-    if n <= WINDOW:
-        keep = np.array([n - 1 - int(order[::-1].argmin())])
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(order, WINDOW)[:, ::-1]
-        keep = np.unique(np.arange(len(views)) + WINDOW - 1 - views.argmin(axis=1))
-    return keep, is_common[keep]
-
-
-def needs_common(n_words: int, places: np.ndarray, common: np.ndarray) -> bool:
-    """Whether fewer disjoint runs than edits + 1 hold an uncommon kept gram."""
-    edits = int(n_words / (1 / EDITS - 1) + 1e-9)  # of a partner that is longer by as many
-    runs, end, width = 0, -1, GRAM + WINDOW - 1
-    for p in places[~common].tolist():
-        if p > end and p + width <= n_words:
-            runs += 1
-            end = p + width
-    return runs < edits + 1
+class Batch:
+    """The grams of a batch of records in one array, and those that winnowing keeps."""
+
+    def __init__(self, records: list[list[str]], hasher: Hasher):
+        n = np.array([len(r) for r in records], np.int64)
+        h = hasher.words([w for r in records for w in r])
+        self.n = n
+        first = np.concatenate([[0], np.cumsum(n)])
+        grams = hasher.grams(h)
+        starts = np.repeat(np.arange(len(records)), np.maximum(n - GRAM + 1, 0))  # record of each gram
+        count = np.maximum(n - GRAM + 1, 0)
+        begin = np.cumsum(count) - count
+        self.place = np.arange(len(starts)) - begin[starts] if len(starts) else np.zeros(0, np.int64)
+        self.record = starts
+        self.grams = grams[first[:-1][starts] + self.place] if len(starts) else np.zeros(0, np.uint64)
+        self.begin, self.count = begin, count
+
+    def winnowed(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the kept grams (the least of every WINDOW, common ones last, the rightmost of equals), and of those of the spans."""
+        g = self.grams
+        if not len(g):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        is_common = np.zeros(len(g), bool)
+        if len(common):
+            at = np.searchsorted(common, g)
+            at[at == len(common)] = 0
+            is_common = common[at] == g
+        order = (g >> np.uint64(1)) | (is_common.astype(np.uint64) << np.uint64(63))
+        last = len(g) - 1
+        best, where = order.copy(), np.arange(len(g))
+        end = (self.begin + self.count - 1)[self.record]  # last gram of the record
+        for k in range(1, WINDOW):
+            other = np.minimum(np.arange(len(g)) + k, last)
+            inside = (np.arange(len(g)) + k <= end) & (order[other] <= best)
+            best = np.where(inside, order[other], best)
+            where = np.where(inside, other, where)
+        # windows that are whole; a record of fewer grams than a window has one window
+        whole = (np.arange(len(g)) + WINDOW - 1 <= end) | (self.place == 0)
+        spans = (self.place % SPAN == 0) & (np.arange(len(g)) + WINDOW - 1 <= end)
+        return np.unique(where[whole]), where[spans]
+
+
+class Sieve:
+    """Which (stage, numbers, seed) keys the hold-out records have, in a bounded number of bits."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+        self.mask = np.uint64(len(bits) * 64 - 1)
+
+    @staticmethod
+    def keys(stage: str, numbers: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            k = (seeds ^ (numbers * np.uint64(0x9E3779B97F4A7C15))) + np.uint64(xxhash.xxh3_64_intdigest(stage))
+            k ^= k >> np.uint64(32)
+            k *= np.uint64(0xD6E8FEB86659FD93)
+            k ^= k >> np.uint64(32)
+        return k
+
+    @staticmethod
+    def places(keys: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        return keys & mask, (keys >> np.uint64(20) ^ keys << np.uint64(17)) & mask
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        one = np.uint64(1)
+        out = np.ones(len(keys), bool)
+        for p in self.places(keys, self.mask):
+            out &= (self.bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & one).astype(bool)
+        return out
+
+
+def build_sieve(seeds: DataFrame) -> Sieve:
+    """The sieve of ``(stage, numbers, seeds)`` rows: bits are set in each part and joined by their words."""
+    total = seeds.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    n_bits = SIFT_BITS[0]
+    while n_bits < min(16 * total, SIFT_BITS[1]):
+        n_bits *= 2
+    mask = np.uint64(n_bits - 1)
+
+    def run(batches):
+        words = np.zeros(n_bits // 64, np.uint64)
+        for batch in batches:
+            for stage, numbers, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                keys = Sieve.keys(stage, np.array([numbers], np.int64).view(np.uint64), np.array(own, np.int64).view(np.uint64))
+                for p in Sieve.places(keys, mask):
+                    np.bitwise_or.at(words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at].view(np.int64))], names=["at", "word"])
+
+    parts = seeds.select("stage", "numbers", "seeds").mapInArrow(run, "at bigint, word bigint")
+    table = parts.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()  # at most SIFT_BITS / 64 rows
+    bits = np.zeros(n_bits // 64, np.uint64)
+    bits[table.column("at").to_numpy()] = np.asarray(table.column("word").to_numpy(), np.int64).view(np.uint64)
+    return Sieve(bits)
+
+
+def edits_within(n: int) -> int:
+    """Most edits to a partner of a record of n words, which may be longer by as many."""
+    return int(n / (1 / EDITS - 1) + 1e-9)
 
 
 def _common_grams(tables: list[DataFrame]) -> np.ndarray:
-    """Grams that at least COMMON_SHARE of the records of some part hold, over all splits.
+    """Grams that occur at least COMMON_SHARE times as often as there are records, in some part of the tables.
 
-    Each part gives only grams above its own share, so a part gives at most
-    (grams of a record) / COMMON_SHARE of them; any gram above the share overall is
-    above it in some part.
+    A part gives only grams above its own share, so at most (grams of a record) /
+    COMMON_SHARE of them; any gram above the share overall is above it in some part.
     """
 
     def run(batches):
-        hasher, held, records = Hasher(), [], 0
+        hasher, held, size, records = Hasher(), [], 0, 0
         values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def fold(values, counts, held):
-            v, where = np.unique(np.concatenate([values, *held]), return_inverse=True)
-            c = np.bincount(where, np.concatenate([counts, np.ones(sum(map(len, held)), np.int64)]), len(v)).astype(np.int64)
-            if len(v) > 4_000_000:  # keeps the memory of a task bounded; what is seen once so far is rare
-                v, c = v[c > 1], c[c > 1]
-            return v, c
+        def fold():
+            nonlocal values, counts, held, size
+            v, n = np.unique(np.concatenate(held), return_counts=True)
+            if len(values):
+                at = np.searchsorted(values, v)
+                at[at == len(values)] = 0
+                old = values[at] == v
+                counts[at[old]] += n[old]
+                v, n = np.concatenate([values, v[~old]]), np.concatenate([counts, n[~old]])
+                order = np.argsort(v)
+                v, n = v[order], n[order]
+            if len(v) > 2_000_000:  # bounds the memory of a task; what is seen once so far is rare
+                v, n = v[n > 1], n[n > 1]
+            values, counts, held, size = v, n, [], 0
 
-        size = 0
         for batch in batches:
-            for stored in batch.column(0).to_pylist():
-                g = hasher.grams(hasher.words(record_words(stored)))
-                records += 1
-                if len(g):
-                    held.append(np.unique(g))
-                    size += len(held[-1])
-                if size > 500_000:
-                    values, counts = fold(values, counts, held)
-                    held, size = [], 0
+            words = [record_words(x) for x in batch.column(0).to_pylist()]
+            own = Batch(words, hasher)
+            held.append(own.grams)
+            size += len(own.grams)
+            records += len(words)
+            if size > 1_000_000:
+                fold()
         if held:
-            values, counts = fold(values, counts, held)
+            fold()
         keep = counts >= max(4.0, COMMON_SHARE * records)
         yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], names=["g", "n"])
 
@@ -168,30 +247,39 @@ def _common_grams(tables: list[DataFrame]) -> np.ndarray:
     return np.sort(np.array(rows.column(0).to_numpy(), np.int64).view(np.uint64))
 
 
-def records(table: DataFrame, stage: str, split: str, column: str, common: np.ndarray) -> DataFrame:
-    """RECORD_SCHEMA of the rows of a table that have enough words."""
-    shared = table.sparkSession.sparkContext.broadcast(common)
+def records(table: DataFrame, stage: str, split: str, column: str, common: np.ndarray, sieve: Sieve | None = None) -> DataFrame:
+    """RECORD_SCHEMA of the rows of a table that have enough words.
+
+    Without a sieve the seeds are all kept grams; with one they are those of the spans
+    that it holds, and rows with fewer than a partner would share are left out.
+    """
+    shared = table.sparkSession.sparkContext.broadcast((common, None if sieve is None else sieve.bits))
 
     def run(batches):
         hasher = Hasher()
-        common = shared.value
+        common, bits = shared.value
+        sift = None if bits is None else Sieve(bits)
+        names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()]
         for batch in batches:
+            ids, sources, stored = (batch.column(k).to_pylist() for k in range(3))
+            words = [w if len(w := record_words(x)) >= MIN_WORDS else [] for x in stored]
+            own = Batch(words, hasher)
+            kept, spans = own.winnowed(common)
+            numbers = np.array([xxhash.xxh3_64_intdigest(" ".join(_NUMBER.findall(" ".join(w)))) >> 1 if w else 0 for w in words], np.uint64)
+            keep = kept
+            total = np.bincount(own.record[spans], minlength=len(words))
+            least = np.ones(len(words), np.int64)
+            if sift is not None:
+                keep = spans[sift.holds(Sieve.keys(stage, numbers[own.record[spans]], own.grams[spans]))]
+                least = np.maximum(1, [t - edits_within(len(w)) for t, w in zip(total.tolist(), words)])
+            cuts = np.searchsorted(own.record[keep], np.arange(len(words) + 1))
             rows = []
-            for row_id, source, stored in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = record_words(stored)
-                if len(words) < MIN_WORDS:
-                    continue
-                text = " ".join(words)
-                grams = hasher.grams(hasher.words(words))
-                places, is_common = winnow(grams, common)
-                need = needs_common(len(words), places, is_common)
-                if split == "val" and not need:
-                    places = places[~is_common]
-                numbers = xxhash.xxh3_64_intdigest(" ".join(_NUMBER.findall(text))) >> 1
-                rows.append((stage, split, row_id, source, xxhash.xxh3_128_digest(text), numbers, len(words), text, grams[places].view(np.int64).tolist(), places.tolist(), need))
+            for k in np.flatnonzero(cuts[1:] - cuts[:-1] >= least).tolist():
+                at = keep[cuts[k] : cuts[k + 1]]
+                text = " ".join(words[k])
+                rows.append((stage, split, ids[k], sources[k], xxhash.xxh3_128_digest(text), int(numbers[k]), len(words[k]), text, own.grams[at].view(np.int64).tolist(), own.place[at].tolist(), int(total[k])))
             cols = list(zip(*rows)) or [()] * 11
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_()]
-            names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     cols = table.select(F.col("row_id").cast("bigint"), F.col("source").cast("string"), F.col(column).cast("string"))
@@ -270,17 +358,23 @@ def class_pairs(spark: SparkSession, tables: dict[tuple[str, str], tuple[DataFra
     """(pairs of classes with their coverage, membership of the classes).
 
     ``tables`` maps (stage, split) to a table and its column of stored turns.  The
-    records are written once to the shared folder, so that losing an executor
-    costs no second fingerprinting.
+    hold-out records and the training records that share a key with them are written
+    once to the shared folder, so that losing an executor costs no second
+    fingerprinting.
     """
     folder = f"{shared_folder(spark)}/overlap-{uuid.uuid4().hex}"
-    common = _common_grams([t.select(F.col(c).cast("string")) for t, c in tables.values()])
-    every = None
-    for (stage, split), (table, column) in tables.items():
-        one = records(table, stage, split, column, common)
-        every = one if every is None else every.unionByName(one)
-    every.write.mode("overwrite").parquet(folder)
-    stored = spark.read.schema(RECORD_SCHEMA).parquet(folder)
+    common = _common_grams([t.select(F.col(c).cast("string")) for (_, split), (t, c) in tables.items() if split == "val"])
+    def write(split: str, sieve: Sieve | None) -> DataFrame:
+        every = None
+        for (stage, side), (table, column) in tables.items():
+            if side == split:
+                one = records(table, stage, split, column, common, sieve)
+                every = one if every is None else every.unionByName(one)
+        every.write.mode("overwrite").parquet(f"{folder}/{split}")
+        return spark.read.schema(RECORD_SCHEMA).parquet(f"{folder}/{split}")
+
+    val = write("val", None)
+    stored = val.unionByName(write("train", build_sieve(val)))
     members = stored.select("stage", "split", "row_id", "source", "class").dropDuplicates(["stage", "split", "row_id", "class"])
     first = members.groupBy("stage", "split", "class").agg(F.min("row_id").alias("row_id"))
     val_first, train_first = first.where("split = 'val'").drop("split"), first.where("split = 'train'").drop("split")
@@ -289,27 +383,49 @@ def class_pairs(spark: SparkSession, tables: dict[tuple[str, str], tuple[DataFra
 
     def seeds(split: str, alone: DataFrame) -> DataFrame:
         # deliveries and copies of a representative are left out: it alone is fingerprinted
-        of = stored.where(F.col("split") == split).select("stage", "row_id", "class", "numbers", "n", F.arrays_zip("seeds", "places").alias("z"))
+        of = stored.where(F.col("split") == split).select("stage", "row_id", "class", "numbers", "n", "spans", F.arrays_zip("seeds", "places").alias("z"))
         of = of.join(alone, ["stage", "class", "row_id"], "left_semi").dropDuplicates(["stage", "class"])
-        return of.select("stage", F.col("class").alias(f"{split}_class"), "numbers", F.col("n").alias(f"{split}_n"), F.explode("z").alias("s")).select(
-            "stage", f"{split}_class", "numbers", f"{split}_n", F.col("s.seeds").alias("seed"), F.col("s.places").alias(f"{split}_place")
+        return of.select("stage", F.col("class").alias(f"{split}_class"), "numbers", F.col("n").alias(f"{split}_n"), F.col("spans").alias(f"{split}_spans"), F.explode("z").alias("s")).select(
+            "stage", f"{split}_class", "numbers", f"{split}_n", f"{split}_spans", F.col("s.seeds").alias("seed"), F.col("s.places").alias(f"{split}_place")
         )
 
-    v, t = seeds("val", val_first), seeds("train", train_first)
-    hits = v.join(t, ["stage", "numbers", "seed"]).where(
-        "val_class <> train_class and abs(val_n - train_n) <= floor(greatest(val_n, train_n) * %s + 1e-9)" % EDITS
-    )
+    v, t = seeds("val", val_first).drop("val_spans"), seeds("train", train_first)
+    key = ["stage", "numbers", "seed"]
+    hot = t.groupBy(*key).agg(F.count("*").alias("c")).where(F.col("c") > HOT_KEY).select(*key, F.lit(1).alias("hot"))
+    hot.write.mode("overwrite").parquet(f"{folder}/hot")
+    hot = spark.read.schema("stage string, numbers bigint, seed bigint, hot int").parquet(f"{folder}/hot")
+    if not hot.isEmpty():
+        t = _without_needless(t.join(hot, key, "left").withColumn("hot", F.coalesce("hot", F.lit(0))))
+    edits = F.floor(F.greatest("val_n", "train_n") * EDITS + 1e-9)
+    hits = v.join(t, key).where((F.col("val_class") != F.col("train_class")) & (F.abs(F.col("val_n") - F.col("train_n")) <= edits))
     near = hits.groupBy("stage", "val_class", "train_class").agg(
-        F.collect_list(F.struct("val_place", "train_place")).alias("z")
+        F.collect_list(F.struct("val_place", "train_place")).alias("z"),
+        F.count_distinct("train_place").alias("shared"),
+        F.max(F.col("train_spans") - edits).alias("least"),
     )
-    texts = stored.select("stage", "split", "class", "text").dropDuplicates(["stage", "split", "class"])
-    val_texts = texts.where("split = 'val'").select("stage", F.col("class").alias("val_class"), F.col("text").alias("val_text"))
-    train_texts = texts.where("split = 'train'").select("stage", F.col("class").alias("train_class"), F.col("text").alias("train_text"))
-    both = near.join(val_texts, ["stage", "val_class"]).join(train_texts, ["stage", "train_class"])
+    near = near.where("shared >= least").drop("shared", "least")
+    def texts(split: str) -> DataFrame:
+        wanted = near.select("stage", F.col(f"{split}_class").alias("class")).distinct()
+        of = stored.where(F.col("split") == split).select("stage", "class", "text").join(wanted, ["stage", "class"], "left_semi").dropDuplicates(["stage", "class"])
+        return of.select("stage", F.col("class").alias(f"{split}_class"), F.col("text").alias(f"{split}_text"))
+
+    near.write.mode("overwrite").parquet(f"{folder}/near")
+    near = spark.read.schema("stage string, val_class binary, train_class binary, z array<struct<val_place:int,train_place:int>>").parquet(f"{folder}/near")
+    both = near.join(texts("val"), ["stage", "val_class"]).join(texts("train"), ["stage", "train_class"])
     found = _aligned(both.select("stage", "val_class", "train_class", "val_text", "train_text", F.col("z.val_place").alias("val_places"), F.col("z.train_place").alias("train_places")))
     return same.unionByName(found), members
 
 
+def _without_needless(seeds: DataFrame) -> DataFrame:
+    """The training seeds without the hot ones of records that have enough spans without them."""
+    hot = seeds.groupBy("stage", "train_class").agg(F.sum("hot").alias("h"))
+    bound = F.col("train_spans") - F.col("h")
+    most = F.floor(F.col("train_n") / (1 / EDITS - 1) + 1e-9)
+    spare = bound - most >= 1
+    each = seeds.join(hot, ["stage", "train_class"]).withColumn("spare", spare)
+    return each.where("hot = 0 or not spare").withColumn("train_spans", F.when(F.col("spare"), bound).otherwise(F.col("train_spans"))).drop("hot", "h", "spare")
+
+
 def found(spark: SparkSession, tables: dict[tuple[str, str], tuple[DataFrame, str]]) -> DataFrame:
     """``(stage, val_id, train_id)`` of every pair of records, copies and near copies."""
     pairs, members = class_pairs(spark, tables)
