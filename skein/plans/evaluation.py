@@ -136,3 +136,15 @@ def i5_nucleus(t):
 def k7_rank_mean(t):
     """Mean over ranks of equal weight; suppliers stand for ranks."""
     return E.mean_over_ranks(t("lineitem"), "l_suppkey", "l_discount")
+
+
+@query(f"""
+with {PAIRS}, b as (select row_id % 16 as batch, avg(greatest(-z, 0) + ln(1 + exp(-abs(z)))) as dpo, avg(-pc / 50) as nll from m group by 1)
+select avg(dpo + 0.2 * nll) as total_loss, avg(dpo) as preference_loss from b""")
+def g24_total_loss(t):
+    """Preference loss with a share of the chosen replies' own loss, as a mean of batch means."""
+    rows = t("dpo_train").select("row_id", F.coalesce("source", F.lit("")).alias("source")).distinct()
+    s = rows.withColumns({k: -50 * nll(k, F.col("row_id")) for k in ("pc", "pr", "rc", "rr")})
+    loss = E.preference_loss(F.col("pc"), F.col("pr"), F.col("rc"), F.col("rr"), 0.1)
+    b = s.groupBy((F.col("row_id") % 16).alias("batch")).agg(F.avg(loss).alias("dpo"), F.avg(-F.col("pc") / 50).alias("nll"))
+    return b.agg(F.avg(F.col("dpo") + 0.2 * F.col("nll")).alias("total_loss"), F.avg("dpo").alias("preference_loss"))

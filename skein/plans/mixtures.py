@@ -9,7 +9,7 @@ from skein.functions.chunking import similar_pair
 from skein.operators import mixing as M
 from skein.operators import normalise as N
 from skein.plans.base import query
-from skein.plans.corpus import strip_sql
+from skein.plans.corpus import FOREIGN, strip_sql
 
 TASKS = "(select *, lower(trim(task)) as t from (select distinct row_id, source, task, origin_file, messages from sft_train))"
 
@@ -344,3 +344,53 @@ def d18_split_instruction(t):
     """Texts to be rewritten, without the instruction before them."""
     r = t("sft_train").where(F.lower(F.trim("task")) == "rewrite").select("row_id", F.get(F.from_json("messages", "array<struct<content:string>>"), F.lit(0))["content"].alias("src")).distinct()
     return r.where("src is not null").select("row_id", X.split_instruction(F.col("src")).alias("body"))
+
+
+@query(r"""
+with r as (select distinct row_id, json_extract_string(messages, '$[1].content') as command from sft_train where lower(trim(task)) = 'shell' and json_valid(messages))
+select row_id, not contains(command, chr(10)) and length(command) <= 400 as one_liner,
+regexp_matches(command, '(?i)\brm\s+(?:-[-\w]+\s+)*/(?:\s|$|\*|(?:bin|boot|dev|etc|home|lib|proc|root|sbin|srv|sys|usr|var)\b)|\bmkfs(?:\.\w+)?\b|\bdd\s+[^;&|]*of=/dev/(?:sd|nvme|hd|vd|disk|mmcblk|loop)|:\(\)\s*\{|\b(?:shutdown|reboot|poweroff)\b|(?:^|[;&|]\s*|\bsudo\s+)halt\b|\bchmod\s+(?:-[-\w]+\s+)*777\s+/(?:\s|$)|>\s*/dev/(?:sd|nvme|hd|vd|mmcblk)|\bmv\s+[^;&|]*\s/dev/null\b') as destructive
+from r where command is not null""")
+def c10_shell_filters(t):
+    """One-line and destructive shell replies."""
+    r = t("sft_train").where(F.lower(F.trim("task")) == "shell").select("row_id", F.get(F.from_json("messages", "array<struct<content:string>>"), F.lit(1))["content"].alias("command")).distinct()
+    c = F.col("command")
+    return r.where("command is not null").select("row_id", X.is_one_liner(c).alias("one_liner"), X.is_destructive(c).alias("destructive"))
+
+
+@query(f"""
+with r as (select distinct row_id, {strip_sql(f"regexp_replace(chosen, '{FOREIGN}', '', 'g')")} as a, {strip_sql(f"regexp_replace(rejected, '{FOREIGN}', '', 'g')")} as b from dpo_train where chosen is not null and rejected is not null)
+select row_id, (a <> '')::int + (b <> '')::int as n_turns, case when b <> '' then b when a <> '' then a end as last_turn from r""")
+def d15_transcripts(t):
+    """Turns of flat transcripts, made of the replies: empty turns are left out."""
+    rows = t("dpo_train").where("chosen is not null and rejected is not null").select("row_id", "chosen", "rejected").distinct()
+    flat = F.concat(F.lit("\n\nHuman: "), "chosen", F.lit("\n\nAssistant: "), "rejected")
+    parsed = rows.select("row_id", F.transform(N.parse_transcript(flat), lambda m: m["content"]).alias("m"))
+    return parsed.select("row_id", F.size("m").alias("n_turns"), F.try_element_at("m", F.lit(-1)).alias("last_turn"))
+
+
+@query(f"""
+with r as (select item_id, regexp_replace({strip_sql("context")}, '\\s+', ' ', 'g') as r, choices[answer + 1] as a from eval_items where answer is not null and answer < len(choices))
+select item_id, case when length(r) < 16 or lower(r) = lower(a) then a else 'Thinking: ' || r || chr(10) || 'Answer: ' || a end as reply from r""")
+def d10_think_replies(t):
+    """Scratchpad replies made of the items' passages and answers."""
+    r = t("eval_items").where("answer is not null and answer < size(choices)")
+    return r.select("item_id", X.think_reply(F.col("context"), F.get("choices", F.col("answer").cast("int"))).alias("reply"))
+
+
+@query(f"""
+with r as (select item_id, {strip_sql("context")} as c, answer from eval_items where answer is not null)
+select item_id, regexp_replace({strip_sql("rtrim(c, '.')")}, '^\\s+|\\s+$', '', 'g') as steps, (answer * 7)::bigint::varchar as final from r""")
+def d12_worked_solutions(t):
+    """Steps and final answer of solutions that close by naming it."""
+    r = t("eval_items").where("answer is not null").select("item_id", F.concat(F.regexp_replace(X.strip(F.col("context")), r"\.+$", ""), F.lit(". So the answer is: "), (F.col("answer") * 7).cast("bigint").cast("string"), F.lit(".")).alias("s"))
+    parts = r.select("item_id", X.worked_solution(X.solution_parts(F.col("s"))).alias("p"))
+    return parts.select("item_id", "p.steps", "p.final")
+
+
+@query(r"""
+select item_id, trim(regexp_replace(replace(context, '.', ' \boxed{x}.'), '\\boxed\{([^{}]*)\}', '\1', 'g'), E' \t\n\r') as text from eval_items""")
+def d13_strip_markup(t):
+    """Texts without calculator notes and final marks, boxes unwrapped."""
+    marked = F.concat(F.lit("<<1+1=2>>"), F.replace("context", F.lit("."), F.lit(" \\boxed{x}.")), F.lit(" #### 12"))
+    return t("eval_items").select("item_id", X.strip(X.strip_markup(marked)).alias("text"))
