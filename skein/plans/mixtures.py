@@ -316,9 +316,9 @@ def f21_pairs(t):
     return N.preferences("messages_pair", made, "ultrafeedback", "helpful").select("id", "task", F.to_json("prompt").alias("prompt"), "chosen", "rejected")
 
 
-@query(r"""
+@query(rf"""
 with r as (select distinct row_id, json_extract_string(messages, '$[1].content') as reply from sft_train where lower(trim(task)) = 'math' and json_valid(messages))
-select row_id, case when instr(reply, 'Thinking:') = 0 then trim(reply, E' \t\n') else '' end as bare, instr(reply, 'Thinking:') > 0 as has_thinking from r where reply is not null and instr(reply, 'Thinking:') = 0""")
+select row_id, case when instr(reply, 'Thinking:') = 0 then {strip_sql('reply')} else '' end as bare, instr(reply, 'Thinking:') > 0 as has_thinking from r where reply is not null and instr(reply, 'Thinking:') = 0""")
 def d11_split_thinking(t):
     """Replies of the maths rows without a scratchpad; they are the answer."""
     rows = t("sft_train").where(F.lower(F.trim("task")) == "math").select("row_id", F.get(F.from_json("messages", "array<struct<content:string>>"), F.lit(1))["content"].alias("reply")).distinct().where("reply is not null")
@@ -337,9 +337,9 @@ def f26_greetings(t):
     return r.where(X.is_greeting(F.col("asked")) & (F.trim("reply") != "") & (X.n_words(F.col("reply")) <= 45))
 
 
-@query("""
+@query(f"""
 with r as (select distinct row_id, json_extract_string(messages, '$[0].content') as src from sft_train where lower(trim(task)) = 'rewrite' and json_valid(messages))
-select row_id, case when instr(src, ': ') > 0 and instr(src, ': ') - 1 <= 80 then trim(substr(src, instr(src, ': ') + 2), E' \\t\\n') else src end as body from r where src is not null""")
+select row_id, case when instr(src, ': ') > 0 and instr(src, ': ') - 1 <= 80 then {strip_sql("substr(src, instr(src, ': ') + 2)")} else src end as body from r where src is not null""")
 def d18_split_instruction(t):
     """Texts to be rewritten, without the instruction before them."""
     r = t("sft_train").where(F.lower(F.trim("task")) == "rewrite").select("row_id", F.get(F.from_json("messages", "array<struct<content:string>>"), F.lit(0))["content"].alias("src")).distinct()
