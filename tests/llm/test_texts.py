@@ -103,7 +103,7 @@ def test_language_on_held_out_rows(spark):
     assert language.passages(net, [None, "", " ", "123 456"]) [:3] == [[], [], []]
     small = spark.createDataFrame([(1, mixed, "en", "x"), (2, None, None, "x"), (3, "", "de", "x"), (1, mixed, "en", "x")], "doc_id bigint, text string, lang string, label string")
     assert {(r.doc_id, r.lang) for r in language.found(small, net).collect()} == {(1, "ru")}
-    assert {r.doc_id for r in language.documents(small, net).collect()} == {1}
+    assert {(r.doc_id, r.lang is None, r.confidence > 0) for r in language.documents(small, net).collect()} == {(1, False, True), (2, True, False), (3, True, False)}
     assert language.found(small.where("doc_id < 0"), net).count() == 0
     assert language.fit(small.where("doc_id < 0")).out.shape[1] == len(LANGUAGES)
 
