@@ -141,6 +141,18 @@ def test_leakage_against_brute_force(spark):
     assert leakage.found(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, context string")).count() == 0
 
 
+def test_evenly_altered_halves_are_found():
+    _, passages, _ = leak_fixture()
+    index, rng = leakage.PassageIndex(passages), random.Random(1)
+    vocabulary = sorted({w for words, _ in passages for w in words})
+    for k, (words, _) in enumerate(passages):
+        half = [rng.choice(vocabulary) if i % 10 == k % 10 else w for i, w in enumerate(words[: len(words) * 6 // 10])]
+        around = lambda: [rng.choice(vocabulary) for _ in range(60)]
+        text = " ".join(around() + half + around())
+        if leakage.reproduced(words, leakage.words_of(text)) >= leakage.SHARE:
+            assert k in {p for p, _ in index.leaked([text])[0]}
+
+
 def test_hamming_index_is_exact():
     import numpy as np
 
