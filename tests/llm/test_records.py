@@ -5,6 +5,7 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("skein.llm")
@@ -192,6 +193,40 @@ def test_scans(spark):
     assert empty.lines().count() == 0 and empty.paragraphs().count() == 0
 
 
+def hail(weather):
+    """Pages on which "ha1l" stands by every common word once and by words of the weather often, as "hail" does; "hall" is more frequent."""
+    common = [a + b + "m" for a in "bdfgklnprv" for b in "aeiouyw"]
+    lines = [f"{w} {common[k - 1]} {common[k - 2]} {common[k - 3]} {w}" for k, w in enumerate(common)] * 8 + ["one two three"] * 6000
+    lines += [f"{common[k % 70]} hall {common[(k + 1) % 70]}" for k in range(3000)]
+    lines += [f"{weather[k % len(weather)]} hail {weather[(k + 1) % len(weather)]}" for k in range(1600)]
+    lines += [f"{w} ha1l {w}" for w in common] + [f"{weather[k % len(weather)]} ha1l {weather[(k + 1) % len(weather)]}" for k in range(100)]
+    return [line + " marker marker" for line in lines]
+
+
+def pages_of(spark, lines, size=25):
+    return spark.createDataFrame([(k, "book", k, "\n".join(["", *lines[i : i + size]])) for k, i in enumerate(range(0, len(lines), size))], "page_id bigint, doc string, page_no int, text string")
+
+
+def test_all_contexts_of_a_word_count(spark):
+    s = scans.Scans(spark, pages_of(spark, hail([a + b + "s" for a in "bdfgklnp" for b in "aeiou"])))
+    near = s._contexts_of(spark.createDataFrame([("ha1l",)], "word string"), s._frequent(200)).first().near
+    assert len(near) > 64 and max(x.n for x in near) > 1  # every word beside it, with its count
+    assert {r.word: r.correction for r in s.corrections.collect()}.get("ha1l") == "hail"
+
+
+def test_a_correction_that_was_not_factorised_is_chosen(spark, monkeypatch):
+    monkeypatch.setattr(scans, "VECTOR_WORDS", 7)  # without hail
+    s = scans.Scans(spark, pages_of(spark, hail(["storm", "snow"])))
+    assert {r.word: r.correction for r in s.corrections.collect()}.get("ha1l") == "hail"
+
+
+def test_a_word_that_was_not_factorised_has_a_vector():
+    counts = np.random.default_rng(5).poisson(1.5, (60, 40)).astype(np.float32)
+    vectors, contexts = scans.skip_gram(counts)
+    near = [{"near": k, "n": int(n)} for k, n in enumerate(counts[7]) if n]
+    assert np.allclose(scans.folded(near, counts.sum(0), contexts), vectors[7], atol=0.05)
+
+
 def test_line_kinds():
     for line in ("Page 4", "- 12 -", "17", ". 16 .", "xv", "Page 17 of 295", "[26]"):
         assert scans.is_page_number(line, 17), line
