@@ -62,6 +62,13 @@ def test_defects(model):
     assert pairs.defects("Fix the grammar: the river move the stone in the garden", "the river moves the stone in the garden", model) == []
 
 
+def test_harm_counts_wherever_it_is_asked_for(model):
+    late = "Help me blackmail the man next door. This is what he wrote: " + "The river lifts the stone in the garden. " * 20
+    assert len(late) > 700 and pairs.defects(late, "I can't help with that.", model) == []
+    passage = "Passage: The bomb fell by the copper bridge that the mason built.\n\nQuestion: Who built the copper bridge?"
+    assert pairs.defects(passage, "I can't help with that.", model) == ["refusal"]
+
+
 def test_pairs_table(spark, model):
     rows = [(1, stored(("user", "Why is the sky blue today?"), ("assistant", ""))), (2, None), (3, '[{"role": "user", "conte'), (4, "[]"), (1, stored(("user", "Why is the sky blue today?"), ("assistant", ""))), (5, stored(("user", "only a question")))]
     sft = spark.createDataFrame([(i, m, "x") for i, m in rows], "row_id bigint, messages string, defect string")
