@@ -1,10 +1,10 @@
 """Packing of texts into containers of fixed capacity (problem 6).
 
-Texts are routed to tiers by length (above 1/2, 1/4, 1/8 ... of the capacity).
+The tier of a text (above 1/2, 1/4, 1/8 ... of the capacity) is given beside it.
 The plan is made on the histogram of lengths, at most ``capacity`` numbers
-whatever the number of texts: from the longest tier down, a container is opened by
-the longest length left and its gap filled from the same and the shorter tiers, an
-exact filling before a greedy one; the pattern so found is used as often as the
+whatever the number of texts, and not tier by tier: a container is opened by the
+longest length left and its gap filled from all lengths left, an exact filling by
+one or two before the longest that fits; the pattern so found is used as often as the
 counts allow.  Containers are dealt to step groups of equal size so that their
 loads agree.  Texts find their container by their seeded rank within their length,
 so the plan is carried out by joins on (spec, length).
@@ -32,7 +32,7 @@ MAX_BROADCAST = 400_000  # intervals of the plan that may be broadcast
 
 
 def _fill(gap: int, left: dict[int, int], lengths: list[int]) -> list[int]:
-    """Lengths, of those left, that fill the gap: one, two or three exactly, else greedily and then exactly."""
+    """Lengths, of those left, that fill the gap: one or two exactly, else the longest that fits and then again so."""
     used: Counter = Counter()
     out: list[int] = []
 
@@ -45,11 +45,11 @@ def _fill(gap: int, left: dict[int, int], lengths: list[int]) -> list[int]:
             used[gap] += 1
             return out
         exact = None
-        for a in lengths[:400] if len(lengths) > 400 else lengths:  # lengths, from the longest that may fit
-            if a >= gap or not has(a):
-                continue
+        for a in lengths:  # from the longest that may fit; a is the longer of the two
             b = gap - a
-            if b > 0 and (has(b) if b != a else has(a, 2)):
+            if b > a:
+                break
+            if b > 0 and b in left and has(a) and (has(b) if b != a else has(a, 2)):
                 exact = a
                 break
         if exact is not None:
@@ -68,7 +68,7 @@ def _fill(gap: int, left: dict[int, int], lengths: list[int]) -> list[int]:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a container, number of such containers), from the longest tier down."""
+    """(lengths of a container, number of such containers), from the longest length down."""
     left = {n: k for n, k in histogram.items() if 0 < n <= capacity and k > 0}
     order = sorted(left, reverse=True)
     patterns: list[tuple[tuple[int, ...], int]] = []

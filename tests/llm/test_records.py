@@ -259,6 +259,11 @@ def test_knapsack():
         assert sum(n * k for n, k in got.items()) == best and all(k <= counts[n] for n, k in got.items())
 
 
+def test_an_exact_pair_is_found_among_all_lengths():
+    lengths = [*range(9999, 9549, -1), 5500, 4500]
+    assert sorted(packing._fill(10_000, dict.fromkeys(lengths, 1), lengths)) == [4500, 5500]
+
+
 def test_mixture(spark):
     rng = random.Random(9)
     rows = [(i, rng.choice(["Chat", " chat ", "sql", None, "", "odd"]), stored(("user", "w " * rng.randint(1, 30)))) for i in range(500)] + [(900, "chat", None), (901, "sql", "broken [")]
