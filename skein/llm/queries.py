@@ -61,11 +61,11 @@ def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skein.llm import language
+    from skein.llm import language, quality
 
     _batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return language.found(docs, language.fit(docs))
+    return language.found(docs, language.fit(docs), quality.fit(docs))
 
 
 def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return language.segments(docs, language.fit(docs)).where(F.col("n_words") >= language.MIN_WORDS)
+    return language.segments(docs, language.fit(docs))
 
 
 def p5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,14 +151,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm import quality
 
     _batches(spark)
-    return quality.found(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.found(docs, quality.fit(docs))
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm import quality
 
     _batches(spark)
-    return quality.statistics(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.statistics(docs, quality.fit(docs))
 
 
 QUERIES = {
