@@ -6,8 +6,12 @@ every ``WINDOW`` consecutive rolling hashes of ``GRAM`` words the smallest is ke
 where grams common among the hold-out records order last, so that a shared run of
 ``SPAN`` words always shares a kept fingerprint.  Fingerprints are joined across the
 splits together with a hash of the record's numbers (records that differ in a
-number are different), collinear seeds are chained, and the chains extended by an
-alignment of the words.
+number are different).  The seeds of a pair are chained: the best collinear chain,
+whose changes of offset count as edits, must be as long as a partner's would be (see
+below), else the pair is dropped.  The chain is then extended: the words before it,
+between its seeds and after it are aligned, and the edits so found give the coverage.
+Only where a chain that is long enough extends to too many edits, as repeated phrases
+can put a seed on a wrong diagonal, are the whole records aligned as an exact check.
 
 A training record is cut into spans of ``SPAN`` words, each with one kept
 fingerprint.  A partner differs in at most e words (``EDITS`` of the longer record),
@@ -15,7 +19,8 @@ each of which spoils one span, so all spans but e share their fingerprint with i
 Records whose spans meet fewer hold-out keys than that are left out in the pass that
 reads them, pairs that share fewer before texts are fetched.  Keys of more than
 ``HOT_KEY`` training classes are left out of a record that has enough spans without
-them (its bound falls by as many); others are joined by all their keys.
+them (its bound falls by as many); others are joined by all their keys, the hot ones
+spread over ``SALTS`` parts of the training classes.
 
 Defined results: null, empty and wordless records and those below ``MIN_WORDS``
 words have no partner; other columns are ignored; repeated deliveries count once,
@@ -38,7 +43,8 @@ from skein.operators.workspace import shared_folder
 
 GRAM, WINDOW = 5, 2
 SPAN = GRAM + WINDOW - 1
-HOT_KEY = 1000  # training classes beyond which a key is hot
+HOT_KEY, SALTS = 1000, 32  # training classes beyond which a key is hot; parts that such a key is spread over
+COMMON_MOST = 50_000  # common grams that order last; the bound of what is sent to every task
 MIN_WORDS, EDITS = 12, 0.1
 COMMON_SHARE = 0.001  # occurrences for each record of a part from which a gram counts as common
 SIFT_BITS = (1 << 16, 1 << 28)  # least and most bits of the sieve of hold-out keys: at most 32 MB, however large the splits
@@ -205,6 +211,8 @@ def _common_grams(tables: list[DataFrame]) -> np.ndarray:
 
     A part gives only grams above its own share, so at most (grams of a record) /
     COMMON_SHARE of them; any gram above the share overall is above it in some part.
+    The COMMON_MOST with the highest counts are taken.  They decide only which gram of a
+    window is kept, on both sides alike; no pair depends on them.
     """
 
     def run(batches):
@@ -243,7 +251,7 @@ def _common_grams(tables: list[DataFrame]) -> np.ndarray:
     for table in tables:
         one = table.mapInArrow(run, "g bigint, n bigint")
         parts = one if parts is None else parts.unionByName(one)
-    rows = parts.groupBy("g").agg(F.sum("n").alias("n")).select("g").toArrow()
+    rows = parts.groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(COMMON_MOST).select("g").toArrow()
     return np.sort(np.array(rows.column(0).to_numpy(), np.int64).view(np.uint64))
 
 
@@ -286,19 +294,63 @@ def records(table: DataFrame, stage: str, split: str, column: str, common: np.nd
     return cols.mapInArrow(run, RECORD_SCHEMA)
 
 
-def chained(val_places: list[int], train_places: list[int], n: int) -> int:
-    """Most seeds of one collinear chain whose offsets stay within the edits of n words."""
-    slack = int(n * EDITS) + 2
-    best: list[tuple[int, int, int]] = []
-    top = 0
-    for v, t in sorted(zip(val_places, train_places)):
-        here = 1
-        for pv, pt, length in best:
-            if pv < v and pt < t and abs((v - pv) - (t - pt)) <= slack:
-                here = max(here, length + 1)
-        best = [x for x in best if x[2] > here - 40][-60:] + [(v, t, here)]
-        top = max(top, here)
-    return top
+def chained(seeds: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """The best collinear chain of (val, train) seeds: most seeds, then least change of offset, which may be ``most`` in all.
+
+    Seeds are runs of GRAM equal words; in a chain both places rise.
+    """
+    seeds = sorted(set(seeds))
+    # best chain that ends in a seed, for each total change of offset
+    ends: list[dict[int, tuple[int, int, int]]] = []  # drift -> (length, previous seed, its drift)
+    top = (0, 0, -1, 0)
+    reach = 0
+    for k, (v, t) in enumerate(seeds):
+        own = {min(most, abs(v - t)): (1, -1, 0)} if abs(v - t) <= most else {}
+        for j in range(k - 1, -1, -1):
+            pv, pt = seeds[j]
+            if v - pv > reach and len(own) > 1 and v - pv > 40 * SPAN:
+                break
+            if pv >= v or pt >= t:
+                continue
+            step = abs((v - pv) - (t - pt))
+            for drift, (length, _, _) in ends[j].items():
+                d = drift + step
+                if d <= most and (d not in own or own[d][0] <= length):
+                    own[d] = (length + 1, j, drift)
+            if v - pv > 4 * SPAN and any(x[0] > 4 for x in own.values()):
+                break  # seeds further back are reached through nearer ones
+        ends.append(own)
+        for d, (length, _, _) in own.items():
+            if (length, -d) > (top[0], top[1]):
+                top = (length, -d, k, d)
+    out, k, d = [], top[2], top[3]
+    while k >= 0:
+        out.append(seeds[k])
+        _, k, d = ends[k][d]
+    return out[::-1]
+
+
+def extended(a: list[str], b: list[str], chain: list[tuple[int, int]], most: int) -> int:
+    """Edits between a and b along a chain of seeds: the words before, between and after them are aligned; most + 1 where there are more."""
+    total, i, j = 0, 0, 0
+    for v, t in [*chain, (len(a), len(b))]:
+        if v < len(a) and a[v : v + GRAM] != b[t : t + GRAM]:
+            continue  # equal hashes of unequal words
+        if v < i or t < j:  # overlaps the seed before: run on with it where it lies on the same diagonal
+            if v - t == i - j and v < len(a):
+                i, j = max(i, v + GRAM), max(j, t + GRAM)
+                continue
+            v, t = max(v, i), max(t, j)
+        total += word_edits(a[i:v], b[j:t], most - total)
+        if total > most:
+            return most + 1
+        if v < len(a):
+            i, j = v, t
+            while i < len(a) and j < len(b) and a[i] == b[j]:  # extend the seed as far as the words agree
+                i, j = i + 1, j + 1
+        else:
+            i, j = v, t
+    return total
 
 
 def word_edits(a: list[str], b: list[str], most: int) -> int:
@@ -333,21 +385,32 @@ def allowed_edits(n_a: int, n_b: int) -> int:
     return int(max(n_a, n_b) * EDITS + 1e-9)
 
 
+def judged(a: list[str], b: list[str], seeds: list[tuple[int, int]], least: int) -> float | None:
+    """Coverage of two records by their chained and extended seeds; None where they are no partners.
+
+    ``least`` is the number of seeds that the chain of a partner has.
+    """
+    most = allowed_edits(len(a), len(b))
+    chain = chained(seeds, 2 * most)
+    if len(chain) < least:
+        return None
+    edits = extended(a, b, chain, most)
+    if edits > most:
+        edits = word_edits(a, b, most)
+    return 1.0 - edits / max(len(a), len(b)) if edits <= most else None
+
+
 def _aligned(pairs: DataFrame) -> DataFrame:
-    """The candidate class pairs whose words align within the edits, with their coverage."""
+    """The candidate class pairs whose chained seeds extend to an alignment within the edits, with their coverage."""
 
     def run(batches):
         for batch in batches:
             keep, cover = [], []
-            for k, (a, b, places_a, places_b) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("val_text", "train_text", "val_places", "train_places")))):
-                wa, wb = a.split(" "), b.split(" ")
-                most = allowed_edits(len(wa), len(wb))
-                if chained(places_a, places_b, max(len(wa), len(wb))) < 1:
-                    continue
-                edits = word_edits(wa, wb, most)
-                if edits <= most:
+            for k, (a, b, places_a, places_b, least) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("val_text", "train_text", "val_places", "train_places", "least")))):
+                share = judged(a.split(" "), b.split(" "), list(zip(places_a, places_b)), least)
+                if share is not None:
                     keep.append(k)
-                    cover.append(1.0 - edits / max(len(wa), len(wb)))
+                    cover.append(share)
             part = batch.select(["stage", "val_class", "train_class"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cover, pa.float64())], names=["stage", "val_class", "train_class", "coverage"])
 
@@ -394,25 +457,31 @@ def class_pairs(spark: SparkSession, tables: dict[tuple[str, str], tuple[DataFra
     hot = t.groupBy(*key).agg(F.count("*").alias("c")).where(F.col("c") > HOT_KEY).select(*key, F.lit(1).alias("hot"))
     hot.write.mode("overwrite").parquet(f"{folder}/hot")
     hot = spark.read.schema("stage string, numbers bigint, seed bigint, hot int").parquet(f"{folder}/hot")
+    join = key
     if not hot.isEmpty():
         t = _without_needless(t.join(hot, key, "left").withColumn("hot", F.coalesce("hot", F.lit(0))))
+        # hot keys are spread over SALTS parts of the training classes, to each of which their few hold-out seeds go
+        t = t.withColumn("salt", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("train_class"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+        every = F.when(F.col("hot") == 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        v = v.join(hot, key, "left").select(*v.columns, F.explode(every).alias("salt"))
+        join = [*key, "salt"]
     edits = F.floor(F.greatest("val_n", "train_n") * EDITS + 1e-9)
-    hits = v.join(t, key).where((F.col("val_class") != F.col("train_class")) & (F.abs(F.col("val_n") - F.col("train_n")) <= edits))
+    hits = v.join(t, join).where((F.col("val_class") != F.col("train_class")) & (F.abs(F.col("val_n") - F.col("train_n")) <= edits))
     near = hits.groupBy("stage", "val_class", "train_class").agg(
         F.collect_list(F.struct("val_place", "train_place")).alias("z"),
         F.count_distinct("train_place").alias("shared"),
         F.max(F.col("train_spans") - edits).alias("least"),
     )
-    near = near.where("shared >= least").drop("shared", "least")
+    near = near.where("shared >= least").select("stage", "val_class", "train_class", "z", F.greatest("least", F.lit(1)).cast("int").alias("least"))
     def texts(split: str) -> DataFrame:
         wanted = near.select("stage", F.col(f"{split}_class").alias("class")).distinct()
         of = stored.where(F.col("split") == split).select("stage", "class", "text").join(wanted, ["stage", "class"], "left_semi").dropDuplicates(["stage", "class"])
         return of.select("stage", F.col("class").alias(f"{split}_class"), F.col("text").alias(f"{split}_text"))
 
     near.write.mode("overwrite").parquet(f"{folder}/near")
-    near = spark.read.schema("stage string, val_class binary, train_class binary, z array<struct<val_place:int,train_place:int>>").parquet(f"{folder}/near")
+    near = spark.read.schema("stage string, val_class binary, train_class binary, z array<struct<val_place:int,train_place:int>>, least int").parquet(f"{folder}/near")
     both = near.join(texts("val"), ["stage", "val_class"]).join(texts("train"), ["stage", "train_class"])
-    found = _aligned(both.select("stage", "val_class", "train_class", "val_text", "train_text", F.col("z.val_place").alias("val_places"), F.col("z.train_place").alias("train_places")))
+    found = _aligned(both.select("stage", "val_class", "train_class", "val_text", "train_text", F.col("z.val_place").alias("val_places"), F.col("z.train_place").alias("train_places"), "least"))
     return same.unionByName(found), members
 
 
@@ -423,7 +492,7 @@ def _without_needless(seeds: DataFrame) -> DataFrame:
     most = F.floor(F.col("train_n") / (1 / EDITS - 1) + 1e-9)
     spare = bound - most >= 1
     each = seeds.join(hot, ["stage", "train_class"]).withColumn("spare", spare)
-    return each.where("hot = 0 or not spare").withColumn("train_spans", F.when(F.col("spare"), bound).otherwise(F.col("train_spans"))).drop("hot", "h", "spare")
+    return each.where("hot = 0 or not spare").withColumn("train_spans", F.when(F.col("spare"), bound).otherwise(F.col("train_spans"))).drop("h", "spare")
 
 
 def found(spark: SparkSession, tables: dict[tuple[str, str], tuple[DataFrame, str]]) -> DataFrame:
