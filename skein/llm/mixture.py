@@ -3,8 +3,9 @@
 Size is counted in white-space tokens of the contents.  A histogram of exact
 lengths of each task goes to the driver (its size is checked), where the budget
 of each task is fitted: whole passes first, then the same fraction of every
-length, then a bounded knapsack over the lengths left for the last tokens.  The
-documents of a length are taken by a seeded rank, spread over partitions.
+length, rounded by largest remainders until less than ``HELD`` of the longest
+length is left, then a bounded knapsack over the lengths left for these last tokens.
+The documents of a length are taken by a seeded rank, spread over partitions.
 
 Defined results: tasks are compared in lower case without outer blanks; a record
 without a task, of a task that has no target, or without tokens is not used; a
@@ -12,21 +13,25 @@ task that lacks rows leaves its weight to the others; ``max_repeats`` null is no
 bound; repeated deliveries of a record count once; an empty table gives an empty
 mixture.  The total is, unless given, the largest at which every task that has
 rows meets its share within its repeats, at most one pass over all their rows
-where nothing bounds it.
+where nothing bounds it.  With a total given, what a task cannot give within its
+repeats is shared by the others according to their weights.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.ranks import ranked, seeded
+from skein.operators.workspace import shared_folder
 
 SEED = 20
 MAX_HISTOGRAM = 2_000_000  # (task, length) pairs that the driver may hold
-KNAPSACK_LIMIT = 400_000  # tokens that the exact knapsack may have to fill
+MAX_TARGETS = 10_000
+HELD = 8  # times the longest length that the knapsack is left to fill
 
 _TURNS = "array<struct<role:string,content:string,from:string,value:string>>"
 
@@ -83,13 +88,14 @@ def fit_task(task: str, weight: float, counts: dict[int, int], target: int, repe
         return Fit(task, weight, target, available, repeats, {})
     extra = {n: k * rest // available for n, k in counts.items()}
     rest -= sum(n * k for n, k in extra.items())
-    while rest > KNAPSACK_LIMIT:  # many lengths: take one of each, longest first, as long as it fits
-        for n in sorted(counts, reverse=True):
-            if rest - n >= KNAPSACK_LIMIT // 2 and extra[n] < counts[n]:
-                extra[n] += 1
-                rest -= n
-        break
-    for n, k in knapsack({n: counts[n] - extra[n] for n in counts if counts[n] > extra[n]}, min(rest, 4 * KNAPSACK_LIMIT)).items():
+    held = HELD * max(counts)
+    for n in sorted(counts, key=lambda n: (-(counts[n] * (target - passes * available) % available), -n)):
+        if rest - n < held:
+            break
+        if extra[n] < counts[n]:
+            extra[n] += 1
+            rest -= n
+    for n, k in knapsack({n: counts[n] - extra[n] for n in counts if counts[n] > extra[n]}, rest).items():
         extra[n] += k
     return Fit(task, weight, target, available, passes, {n: k for n, k in extra.items() if k})
 
@@ -108,8 +114,23 @@ def fit(counts: dict[str, dict[int, int]], targets: list[tuple[str, float, int |
     repeats = {t: r for t, _, r in targets}
     if total is None:
         total = largest_total(available, weights, repeats)
-    norm = sum(w for t, w in weights.items() if available.get(t))
-    return [fit_task(t, w, counts.get(t, {}), int(round(w / norm * total)) if available.get(t) else 0, r) for t, w, r in targets]
+    goals = budgets(available, weights, repeats, total)
+    return [fit_task(t, w, counts.get(t, {}), goals.get(t, 0), r) for t, w, r in targets]
+
+
+def budgets(available: dict[str, int], weights: dict[str, float], repeats: dict[str, int | None], total: int) -> dict[str, int]:
+    """Tokens of each task: shares of the total, tasks that cannot give theirs at their most and the rest shared again."""
+    most = {t: None if repeats[t] is None else repeats[t] * available[t] for t, w in weights.items() if available.get(t) and w > 0}
+    out: dict[str, int] = {}
+    rest = total
+    while open_ := [t for t in most if t not in out]:
+        norm = sum(weights[t] for t in open_)
+        over = [t for t in open_ if most[t] is not None and rest * weights[t] / norm > most[t] + 0.5]
+        if not over:
+            return out | {t: int(round(rest * weights[t] / norm)) for t in open_}
+        out |= {t: most[t] for t in over}
+        rest -= sum(most[t] for t in over)
+    return out
 
 
 def sized(table: DataFrame, column: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -123,14 +144,24 @@ def sized(table: DataFrame, column: str, extra: tuple[str, ...] = ()) -> DataFra
     return rows.dropDuplicates(["row_id"])
 
 
-def fits(rows: DataFrame, targets: DataFrame, stage: str, total: int | None = None) -> list[Fit]:
+def stored(rows: DataFrame) -> DataFrame:
+    """The sizes written once to the shared folder, so that histogram and choice need not read the contents again."""
+    path = f"{shared_folder(rows.sparkSession)}/sizes-{uuid.uuid4().hex}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def fits(rows: DataFrame, targets: DataFrame, stage: str, total: int | None = None) -> tuple[list[Fit], int]:
+    """(how each task meets its budget, records of the most frequent length)."""
     goals = [
         (r["task"], float(r["weight"]), None if r["max_repeats"] is None else int(r["max_repeats"]))
         for r in targets.where((F.col("stage") == stage) & F.col("task").isNotNull() & F.col("weight").isNotNull())
         .select(F.lower(F.trim("task")).alias("task"), "weight", "max_repeats")
-        .limit(10_000)
+        .limit(MAX_TARGETS + 1)
         .collect()
     ]
+    if len(goals) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
     counts: dict[str, dict[int, int]] = {}
     wanted = rows.where(F.col("task").isin([g[0] for g in goals])).where("n_tokens > 0")
     table = wanted.groupBy("task", "n_tokens").count().limit(MAX_HISTOGRAM + 1).toArrow().to_pylist()
@@ -138,20 +169,20 @@ def fits(rows: DataFrame, targets: DataFrame, stage: str, total: int | None = No
         raise ValueError(f"more than {MAX_HISTOGRAM} lengths of tasks")
     for r in table:
         counts.setdefault(r["task"], {})[r["n_tokens"]] = r["count"]
-    return fit(counts, sorted(goals), total)
+    return fit(counts, sorted(goals), total), max((k for c in counts.values() for k in c.values()), default=0)
 
 
 def mixture(rows: DataFrame, targets: DataFrame, stage: str, total: int | None = None, seed: int = SEED) -> DataFrame:
     """``(stage, task, row_id, n_tokens, copies)`` of every record used."""
     spark = rows.sparkSession
-    plan = fits(rows, targets, stage, total)
+    plan, largest = fits(rows, targets, stage, total)
     passes = [(f.task, f.passes) for f in plan if f.available]
     extra = [(f.task, n, k) for f in plan for n, k in f.extra.items()]
     p = spark.createDataFrame(passes, "task string, passes int")
     e = spark.createDataFrame(extra, "task string, n_tokens int, extra bigint")
     used = rows.where("n_tokens > 0").join(F.broadcast(p), "task")  # one row a task
     order = used.withColumn("h", seeded(seed, F.col("row_id")))
-    r = ranked(order, ["task", "n_tokens"], "h", ["row_id"])
+    r = ranked(order, ["task", "n_tokens"], "h", ["row_id"], largest)
     copies = F.col("passes") + (F.col("rank") < F.coalesce("extra", F.lit(0))).cast("int")
     out = r.join(e, ["task", "n_tokens"], "left").withColumn("copies", copies).where("copies > 0")
     return out.select(F.lit(stage).alias("stage"), "task", "row_id", "n_tokens", F.col("copies").cast("int"))

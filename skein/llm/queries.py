@@ -88,8 +88,8 @@ def p5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.llm import mixture
 
     goals = _table(spark, sf_dir, "mix_targets")
-    sft = mixture.sized(_table(spark, sf_dir, "sft_train"), "messages")
-    dpo = mixture.sized(_table(spark, sf_dir, "dpo_train"), "prompt", ("chosen", "rejected"))
+    sft = mixture.stored(mixture.sized(_table(spark, sf_dir, "sft_train"), "messages"))
+    dpo = mixture.stored(mixture.sized(_table(spark, sf_dir, "dpo_train"), "prompt", ("chosen", "rejected")))
     return mixture.mixture(sft, goals, "sft").unionByName(mixture.mixture(dpo, goals, "dpo"))
 
 

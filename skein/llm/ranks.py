@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+ROWS_OF_RANGE = 500_000  # rows of a group that one task numbers, about
 
 
 def seeded(seed: int, *keys: Column) -> Column:
@@ -13,14 +13,22 @@ def seeded(seed: int, *keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 2)
 
 
-def ranked(df: DataFrame, group: list[str], order: str, ties: list[str], out: str = "rank") -> DataFrame:
+def range_bits(rows: int) -> int:
+    """Bits of the hash that cut a group of so many rows into ranges of about ROWS_OF_RANGE."""
+    return min(24, max(0, rows // ROWS_OF_RANGE).bit_length())
+
+
+def ranked(df: DataFrame, group: list[str], order: str, ties: list[str], largest: int, out: str = "rank") -> DataFrame:
     """Adds the 0-based rank by (order, ties) within the group.
 
-    ``order`` is a seeded hash.  A group is cut into BUCKETS ranges of it; the rows
-    of a range are numbered by a window, the ranges before it by their counts, so a
-    group that holds a third of all rows is spread over BUCKETS partitions.
+    ``order`` is a seeded hash and ``largest`` the rows of the largest group.  A group is
+    cut into ranges of the hash, as many as ``largest`` needs; the rows of a range are
+    numbered by a window, the ranges before it by their counts.  One range needs no counts.
     """
-    cut = df.withColumn("_b", F.shiftrightunsigned(order, 54))
+    bits = range_bits(largest)
+    if not bits:
+        return df.withColumn(out, (F.row_number().over(Window.partitionBy(*group).orderBy(order, *ties)) - 1).cast("bigint"))
+    cut = df.withColumn("_b", F.shiftrightunsigned(order, 62 - bits))
     counts = cut.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
