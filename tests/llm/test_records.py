@@ -12,7 +12,7 @@ pytest.importorskip("skein.llm")
 
 from pyspark.sql import functions as F
 
-from skein.llm import mixture, overlap, packing, pairs, scans
+from skein.llm import misreadings, mixture, overlap, packing, pairs, scans
 from skein.llm.chat import parse
 from skein.llm.ranks import ranked, seeded
 
@@ -69,6 +69,17 @@ def test_harm_counts_wherever_it_is_asked_for(model):
     assert pairs.defects(passage, "I can't help with that.", model) == ["refusal"]
 
 
+def test_refusals_and_stand_ins_of_any_length(model):
+    ask = "Explain how the river moves the stone and the garden in early spring."
+    refusal = "I'm sorry, but I can't help with that request."
+    for more in (1, 12, 60):
+        wordy = refusal + " I apologize for the inconvenience that this may cause." * more
+        assert pairs.defects(ask, wordy, model) == ["refusal"], more
+    assert pairs.defects(ask, refusal + " The river lifts the stone. It was the garden that moved the river, not the stone." * 6, model) == []
+    assert pairs.defects(ask, "- " * 60, model) == pairs.defects(ask, "N/A\n" * 40, model) == ["empty"]
+    assert pairs.defects(ask, "→ " * 60, model) != ["empty"]
+
+
 def test_pairs_table(spark, model):
     rows = [(1, stored(("user", "Why is the sky blue today?"), ("assistant", ""))), (2, None), (3, '[{"role": "user", "conte'), (4, "[]"), (1, stored(("user", "Why is the sky blue today?"), ("assistant", ""))), (5, stored(("user", "only a question")))]
     sft = spark.createDataFrame([(i, m, "x") for i, m in rows], "row_id bigint, messages string, defect string")
@@ -143,6 +154,22 @@ def test_overlap_against_brute_force(spark, monkeypatch, hot):
     assert overlap.found(spark, empty).count() == 0
 
 
+def test_chaining_rejects_scrambled_seeds():
+    words = [f"w{k}" for k in range(120)]
+    parts = [words[k : k + 12] for k in range(0, 120, 12)]
+    scrambled = [w for k in (5, 0, 8, 2, 9, 1, 7, 3, 6, 4) for w in parts[k]]
+    place = {w: k for k, w in enumerate(words)}
+    seeds = lambda b: [(place[b[j]], j) for j in range(0, len(b) - overlap.GRAM, overlap.SPAN) if [place[w] for w in b[j : j + overlap.GRAM]] == list(range(place[b[j]], place[b[j]] + overlap.GRAM))]
+    least = 120 // overlap.SPAN - overlap.edits_within(120)
+    assert len(seeds(scrambled)) >= least  # as many seeds as a partner has, but in no order
+    assert len(overlap.chained(seeds(scrambled), 24)) < least and overlap.judged(words, scrambled, seeds(scrambled), least) is None
+    typed = [w if k % 15 else w + "x" for k, w in enumerate(words)]
+    near = [(k, k) for k in range(1, 115, 6) if words[k : k + 5] == typed[k : k + 5]]
+    assert overlap.judged(words, typed, near, 4) == pytest.approx(1 - 8 / 120)
+    assert overlap.extended(words, typed, near, 12) == 8 == overlap.word_edits(words, typed, 12)
+    assert overlap.extended(words, words[:50] + words[53:], [(0, 0), (60, 57)], 12) == 3
+
+
 def test_word_edits():
     rng = random.Random(3)
 
@@ -200,38 +227,54 @@ def test_scans(spark):
     assert empty.lines().count() == 0 and empty.paragraphs().count() == 0
 
 
-def hail(weather):
-    """Pages on which "ha1l" stands by every common word once and by words of the weather often, as "hail" does; "hall" is more frequent."""
-    common = [a + b + "m" for a in "bdfgklnprv" for b in "aeiouyw"]
-    lines = [f"{w} {common[k - 1]} {common[k - 2]} {common[k - 3]} {w}" for k, w in enumerate(common)] * 8 + ["one two three"] * 6000
-    lines += [f"{common[k % 70]} hall {common[(k + 1) % 70]}" for k in range(3000)]
-    lines += [f"{weather[k % len(weather)]} hail {weather[(k + 1) % len(weather)]}" for k in range(1600)]
-    lines += [f"{w} ha1l {w}" for w in common] + [f"{weather[k % len(weather)]} ha1l {weather[(k + 1) % len(weather)]}" for k in range(100)]
-    return [line + " marker marker" for line in lines]
-
-
 def pages_of(spark, lines, size=25):
     return spark.createDataFrame([(k, "book", k, "\n".join(["", *lines[i : i + size]])) for k, i in enumerate(range(0, len(lines), size))], "page_id bigint, doc string, page_no int, text string")
 
 
-def test_all_contexts_of_a_word_count(spark):
-    s = scans.Scans(spark, pages_of(spark, hail([a + b + "s" for a in "bdfgklnp" for b in "aeiou"])))
-    near = s._contexts_of(spark.createDataFrame([("ha1l",)], "word string"), s._frequent(200)).first().near
-    assert len(near) > 64 and max(x.n for x in near) > 1  # every word beside it, with its count
-    assert {r.word: r.correction for r in s.corrections.collect()}.get("ha1l") == "hail"
-
-
-def test_a_correction_that_was_not_factorised_is_chosen(spark, monkeypatch):
-    monkeypatch.setattr(scans, "VECTOR_WORDS", 7)  # without hail
-    s = scans.Scans(spark, pages_of(spark, hail(["storm", "snow"])))
-    assert {r.word: r.correction for r in s.corrections.collect()}.get("ha1l") == "hail"
+def test_each_occurrence_is_judged_by_its_context(spark):
+    """A spelling that is a word of its own beside some words and a misreading beside others."""
+    rng = random.Random(6)
+    common = [a + b + "m" for a in "bdfgklnprv" for b in "aeiouyw"]
+    sea, wood = [a + "oss" for a in "bdfgkp"], [a + "ugg" for a in "bdfgkp"]
+    lines = [" ".join(rng.choice(common) for _ in range(8)) for _ in range(1500)]
+    lines += [f"{rng.choice(sea)} {rng.choice(sea)} harden {rng.choice(sea)} {rng.choice(sea)}" for _ in range(1200)]
+    lines += [f"{rng.choice(wood)} {rng.choice(wood)} hardcn {rng.choice(wood)} {rng.choice(wood)}" for _ in range(14)]
+    lines += [f"{rng.choice(sea)} {rng.choice(sea)} hardcn {rng.choice(sea)} {rng.choice(sea)}" for _ in range(14)]
+    rng.shuffle(lines)
+    s = scans.Scans(spark, pages_of(spark, lines))
+    at = {(k, i + 1): line for k, first in enumerate(range(0, len(lines), 25)) for i, line in enumerate(["", *lines[first : first + 25]])}
+    marked = Counter(("sea" if "oss" in at[r.page_id, r.line_no] else "wood") for r in s.lines().where("kind = 'misread'").collect())
+    assert marked["sea"] >= 12 and marked["wood"] <= 4, marked
+
+
+def test_prior_and_links(spark):
+    assert misreadings.prior(1, 500, 1) > 0 > misreadings.prior(400, 500, 1)
+    assert misreadings.prior(60_000, 900_000, 1) < 0 < misreadings.prior(20, 900_000, 1)  # no underflow
+    assert misreadings.edits("kcrnel", "kernel", 2) == 1 and misreadings.edits("foiiow", "follow", 2) == 1 and misreadings.edits("kernel", "kitten", 2) is None
+    long = "unrecognisabilities"  # above the eighteen letters that were once tried for one edit only
+    assert misreadings.edits(long.replace("rec", "rcc").replace("bil", "hil"), long, 2) == 2
+    words = spark.createDataFrame([(long, 900), (long.replace("rec", "rcc").replace("bil", "hil"), 1), ("modem", 300), ("modern", 900), ("c1oud", 1), ("cloud", 50), ("", 3)], "word string, n bigint")
+    got = {(r.word, r.correction): r.prior for r in misreadings.links(words).collect()}
+    assert got[long.replace("rec", "rcc").replace("bil", "hil"), long] > 0 and got["c1oud", "cloud"] > 0
+    assert got.get(("modem", "modern"), -1) < 0  # often seen: a word of its own, but for its context
+    assert misreadings.links(words.where("n < 0")).count() == 0
+
+
+def test_vectors_tell_contexts_apart():
+    rng = random.Random(3)
+    pages = [[rng.choice(("red", "blue")) if k % 2 else rng.choice(("paint", "wall")) for k in range(60)] for _ in range(80)] + [[rng.choice(("salt", "fish")) if k % 2 else rng.choice(("boat", "net")) for k in range(60)] for _ in range(80)]
+    rows, v, u, n = misreadings.train(pages)
+    model = misreadings.Model(np.zeros((misreadings.ROWS, misreadings.SIZE), np.float32), np.zeros((misreadings.ROWS, misreadings.SIZE), np.float32))
+    model.v[rows], model.u[rows] = v, u
+    fits = model.fit(["red", "salt"], ["paint", "wall"])
+    assert fits[0] > fits[1] and len(model.fit(["red"], [])) == 1 and misreadings.train([])[0].size == 0
 
 
-def test_a_word_that_was_not_factorised_has_a_vector():
-    counts = np.random.default_rng(5).poisson(1.5, (60, 40)).astype(np.float32)
-    vectors, contexts = scans.skip_gram(counts)
-    near = [{"near": k, "n": int(n)} for k, n in enumerate(counts[7]) if n]
-    assert np.allclose(scans.folded(near, counts.sum(0), contexts), vectors[7], atol=0.05)
+def test_long_lines_with_one_beginning_are_no_header(spark):
+    opening = "the long account of the voyage that the surveyors of the northern province made "
+    pages = [(k, "b", k, "\n".join([opening + w, *[f"line {w} {j}" for j in range(8)]])) for k, w in enumerate(("around the western cape", "under heavy sails in winter", "past nine quiet harbours"))]
+    df = spark.createDataFrame(pages, "page_id bigint, doc string, page_no int, text string")
+    assert scans.Scans(spark, df).lines().where("kind = 'header'").count() == 0
 
 
 def test_line_kinds():
@@ -240,7 +283,7 @@ def test_line_kinds():
     for line in ("1719.", "490  581  21", "Chapter 4", "", "Page turner"):
         assert not scans.is_page_number(line, 17), line
     assert scans.skeleton("Chapter 10 | Protocols   12") == scans.skeleton("Chapter 10 | Protoco1s   13")
-    assert ("kernel", 1) in scans.variants("kcrnel") and scans.variants("") == []
+    assert scans.folded("foIIow,") == "fo||ow" and scans.folded("(Iron") == "iron"
     counts = {"harbour": 9, "long-term": 4}
     assert scans.is_break("har-", "bour", lambda w: counts.get(w, 0)) and not scans.is_break("long-", "term", lambda w: counts.get(w, 0))
     assert scans.is_break("wit¬", "hout", lambda w: 0)
@@ -259,9 +302,44 @@ def test_knapsack():
         assert sum(n * k for n, k in got.items()) == best and all(k <= counts[n] for n, k in got.items())
 
 
-def test_an_exact_pair_is_found_among_all_lengths():
+def test_exact_fillings_are_found_among_all_lengths():
     lengths = [*range(9999, 9549, -1), 5500, 4500]
-    assert sorted(packing._fill(10_000, dict.fromkeys(lengths, 1), lengths)) == [4500, 5500]
+    assert ((5500, 4500), 1) in packing.plan(dict.fromkeys(lengths, 1), 10_000)
+
+
+def test_tiers_steer_the_plan():
+    """A container of a tier takes pieces of its tier first; a plan over one list of lengths fills it otherwise."""
+    counts = {400: 2, 290: 2, 120: 10, 190: 4, 90: 20}
+    plan = packing.plan(counts, 1000)
+    used = Counter()
+    for lengths, times in plan:
+        assert sum(lengths) <= 1000
+        top = packing.tier(lengths[0], 1000)
+        left = 1000
+        for n in lengths:
+            if packing.tier(n, 1000) == top:
+                left -= n
+        used.update({n: k * times for n, k in Counter(lengths).items()})
+        more = [n for n in counts if packing.tier(n, 1000) == top and n <= left and used[n] < counts[n]]
+        assert not more, (lengths, more)  # none of its own tier that would still have fitted was left for a later one
+    assert used == counts
+    assert plan[0][0][:2] == (400, 400)  # 400 + 290 + 190 + 120 would fill it, too
+
+
+def test_largest_remainders_leave_the_rest_to_the_knapsack():
+    rng = random.Random(12)
+    for _ in range(20):
+        counts = {rng.randint(1, 9000): rng.randint(1, 400) for _ in range(300)}  # far beyond the 400,000 tokens of old
+        available = sum(n * k for n, k in counts.items())
+        target = rng.randint(available // 50, 2 * available)
+        fit = mixture.fit_task("t", 1.0, counts, target, 3)
+        assert target - 1 <= fit.used <= target and all(k <= counts[n] for n, k in fit.extra.items())
+
+
+def test_a_shortfall_is_shared():
+    got = mixture.budgets({"a": 100, "b": 1000, "c": 1000}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 2, "b": 1, "c": None}, 1000)
+    assert got == {"a": 200, "b": 480, "c": 320}
+    assert mixture.budgets({"a": 10}, {"a": 1.0}, {"a": 1}, 1000) == {"a": 10} and mixture.budgets({}, {}, {}, 5) == {}
 
 
 def test_mixture(spark):
@@ -284,8 +362,8 @@ def test_mixture(spark):
 def test_packing(spark):
     rng = random.Random(10)
     docs = [(i, rng.choice([rng.randint(1, 100), rng.randint(1, 30), 7])) for i in range(600)] + [(700, 0), (701, None), (702, 250), (703, 100)]
-    specs = spark.createDataFrame([("a", "chars", 100), ("b", "chars", 40), ("c", "tokens", 9)], "spec string, unit string, capacity int")
-    table = spark.createDataFrame(docs, "doc_id bigint, n_chars bigint")
+    specs = spark.createDataFrame([("a", "chars", 100), ("b", "chars", 40), ("c", "bytes", 90)], "spec string, unit string, capacity int")
+    table = spark.createDataFrame([(i, None if n is None else "é" * n, 5) for i, n in docs], "doc_id bigint, text string, n_chars bigint")  # n_chars is not used
     out = packing.packed(table, specs)
     rows = out.collect()
     for spec, capacity in (("a", 100), ("b", 40)):
@@ -303,14 +381,19 @@ def test_packing(spark):
         total = sum(n or 0 for _, n in docs)
         assert len(fill) <= 1.03 * total / capacity + 1
     loads = packing.summary(out, specs).collect()
-    assert {r.spec for r in loads} == {"a", "b"} and all(r.largest_load - r.least_load <= 2 * r.capacity for r in loads)
+    assert {r.spec for r in loads} == {"a", "b", "c"} and all(r.largest_load - r.least_load <= 2 * r.capacity for r in loads)
     assert packing.packed(table.where("doc_id < 0"), specs).count() == 0
+    assert sum(r.length for r in rows if r.spec == "c") == 2 * total
+    with pytest.raises(ValueError):
+        packing.packed(table, spark.createDataFrame([("d", "furlongs", 9)], "spec string, unit string, capacity int"))
     assert packing.plan({}, 10) == [] and packing.tier(60, 100) == 0 and packing.tier(20, 100) == 2
 
 
-def test_ranks(spark):
+def test_ranks(spark, monkeypatch):
+    monkeypatch.setattr("skein.llm.ranks.ROWS_OF_RANGE", 100)
     df = spark.range(2000).withColumn("g", F.when(F.col("id") < 1500, "hot").otherwise("cold")).withColumn("h", seeded(1, F.col("id")))
-    out = ranked(df, ["g"], "h", ["id"]).collect()
-    for g in ("hot", "cold"):
-        own = sorted((r.h, r.id, r["rank"]) for r in out if r.g == g)
-        assert [r for _, _, r in own] == list(range(len(own)))
+    for largest in (1500, 10):  # in ranges, and in one
+        out = ranked(df, ["g"], "h", ["id"], largest).collect()
+        for g in ("hot", "cold"):
+            own = sorted((r.h, r.id, r["rank"]) for r in out if r.g == g)
+            assert [r for _, _, r in own] == list(range(len(own)))

@@ -54,7 +54,12 @@ def test_bpe_table(spark):
 PROSE = "The miller of the old town said that the river had risen by the bridge, and that it was not the first time. Nobody in the village knew why."
 
 
-def test_kinds():
+@pytest.fixture(scope="module")
+def profiles():
+    return quality.Profiles()
+
+
+def test_kinds(profiles):
     table = "\n".join(f"| a{i} | {i} | {i * 2} |" for i in range(12))
     spaced = "\n".join(f"name{i}        {i}.5        {i}77" for i in range(12))
     listing = "Things to buy\n" + "\n".join(f"- thing number {i}" for i in range(12))
@@ -64,31 +69,53 @@ def test_kinds():
     random_words = " ".join("".join(random.Random(i).choices("bcdfghjklmnpqrstvwxz", k=7)) for i in range(40))
     nav = " | ".join(["Home", "About", "Contact", "Login", "Help", "Search"] * 4)
     for text, kind in [(PROSE, "prose"), (PROSE + "\n- one\n- two\n" + PROSE, "prose"), (verse, "prose"), ("Q: Why is it so?\nA: " + PROSE, "prose"), (table, "table"), (spaced, "table"), (listing, "list"), (bare, "list"), (code, "code"), (random_words, "junk"), (nav, "junk"), ("The same sentence again. " * 20, "junk"), ("#@!$%^&*" * 20, "junk"), ("spores" * 50, "junk"), ("b3ug0O4MkpKMp6Ucsos2jb17PcbTJHZJk4OZ5zDLnRu9nkQC7CqU" * 3, "junk")]:
-        assert quality.kind_of(text) == kind, (kind, text[:60], quality.describe(text))
+        assert profiles.kinds_of([text]) == [kind], (kind, text[:60], profiles.describe([text]))
     for text in ODD:
         if not text or len(text) < quality.MIN_CHARS:
-            assert quality.kind_of(text) is None
+            assert profiles.kinds_of([text]) == [None]
 
 
-def test_statistics_table(spark):
+def test_statistics_table(spark, profiles):
     rows = [(i, t, "x") for i, t in enumerate([PROSE, None, "", PROSE])]
-    out = quality.statistics(spark.createDataFrame(rows, "doc_id bigint, text string, kind string")).orderBy("doc_id").collect()
+    out = quality.statistics(spark.createDataFrame(rows, "doc_id bigint, text string, kind string"), profiles).orderBy("doc_id").collect()
     assert out[0].n_words == 29 and out[0].prose_language == "en" and out[0].kind == "prose"
     assert out[1].n_words == 0 and out[1].kind is None and out[2].n_chars == 0 and out[3][1:] == out[0][1:]
     assert quality.divergence({"a": 1.0}, {"a": 1.0}) == 0 and quality.divergence({"a": 1.0}, {"b": 1.0}) == pytest.approx(1)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_profiles_are_learnt_and_decide(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    learnt = quality.fit(docs)
+    assert abs(learnt.profiles - learnt.first).max() > 0.02 and learnt.words["en"] != quality.Profiles().words["en"]
+    texts = [r.text for r in docs.where(F.length("text") >= quality.MIN_CHARS).collect()]
+    x, _, _ = quality.vectors(texts)
+    near = [quality.KINDS[k] for k in learnt.kinds[quality.divergences(x, learnt.profiles).argmin(axis=1)]]
+    assert near == learnt.kinds_of(texts)
+    # the line structure with most characters alone says otherwise of some texts
+    names = ("starts", 0, 2), ("cells", 1, 7)
+    listed = x[:, quality._AT["starts"] : quality._AT["starts"] + 2].sum(axis=1)
+    celled = x[:, quality._AT["cells"] + 1 : quality._AT["cells"] + 7].sum(axis=1)
+    coded = x[:, quality._AT["starts"] + 7]
+    most = ["list" if a >= 0.5 else "table" if b >= 0.5 else "code" if c >= 0.5 else "prose" for a, b, c in zip(listed, celled, coded)]
+    assert names and sum(a != b for a, b in zip(near, most)) > 20
+    assert quality.fit(docs.where("doc_id < 0")).kinds_of([PROSE]) == ["prose"]
+    assert quality.fit(spark.createDataFrame([(1, PROSE, None, 2)], "doc_id bigint, text string, lang string, kind int")).kinds_of([PROSE]) == ["prose"]
+
+
 def test_labels():
     assert [label_language(x) for x in ("en", "EN-us", "eng", "English", " German ", "pt_BR")] == ["en", "en", "en", "en", "de", "pt"]
     assert [label_language(x) for x in (None, "", "und", "unknown", "xx")] == [None] * 5
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-def test_language_on_held_out_rows(spark):
+def test_language_on_held_out_rows(spark, profiles):
     import pandas as pd
 
     df = pd.read_parquet(f"{DATA}/documents.parquet")
-    rows = [(t, label_language(x), i) for t, x, i in zip(df.text, df.lang, df.doc_id) if t and len(t) > 200 and label_language(x) and quality.kind_of(t) == "prose"]
+    rows = [(t, label_language(x), i) for t, x, i in zip(df.text, df.lang, df.doc_id) if t and len(t) > 200 and label_language(x)]
+    kinds = profiles.kinds_of([t for t, _, _ in rows])
+    rows = [r for r, kind in zip(rows, kinds) if kind == "prose"]
     net = language.train([(t, x) for t, x, i in rows if i % 3])
     held = [(t, x) for t, x, i in rows if i % 3 == 0]
     right = 0
@@ -101,10 +128,14 @@ def test_language_on_held_out_rows(spark):
     mixed = [t for t, x in held if x == "en"][0][:400] + "\n\n" + [t for t, x in held if x == "ru"][0][:400]
     assert {x[0] for x in language.passages(net, [mixed])[0]} >= {"en", "ru"}
     assert language.passages(net, [None, "", " ", "123 456"]) [:3] == [[], [], []]
+    bare = " ".join("".join(c for c in t if c.isalpha() or c == " ") for t, x in held if x == "en")[:600] + " " + "".join(c for c in [t for t, x in held if x == "ru"][0][:300] if c.isalpha() or c == " ")
+    assert {x[0] for x in language.passages(net, [bare])[0]} >= {"en", "ru"}  # no mark or line parts the passages
+    turkish = "İstanbul " * 30 + [t for t, x in held if x == "en"][0][:400]
+    assert language.passages(net, [turkish])[0][-1][2] == len(turkish.encode())  # bytes of the text as it is
     small = spark.createDataFrame([(1, mixed, "en", "x"), (2, None, None, "x"), (3, "", "de", "x"), (1, mixed, "en", "x")], "doc_id bigint, text string, lang string, label string")
-    assert {(r.doc_id, r.lang) for r in language.found(small, net).collect()} == {(1, "ru")}
+    assert {(r.doc_id, r.lang) for r in language.found(small, net, profiles).collect()} == {(1, "ru")}
     assert {(r.doc_id, r.lang is None, r.confidence > 0) for r in language.documents(small, net).collect()} == {(1, False, True), (2, True, False), (3, True, False)}
-    assert language.found(small.where("doc_id < 0"), net).count() == 0
+    assert language.found(small.where("doc_id < 0"), net, profiles).count() == 0
     assert language.fit(small.where("doc_id < 0")).out.shape[1] == len(LANGUAGES)
 
 
@@ -153,13 +184,34 @@ def test_evenly_altered_halves_are_found():
             assert k in {p for p, _ in index.leaked([text])[0]}
 
 
+def test_windows_are_sized_to_the_item():
+    assert [leakage.window_of(n) for n in (12, 40, 48, 66, 90, 400)] == [4, 8, 12, 16, 20, 24]
+    import math
+
+    for size in range(leakage.GRAIN, leakage.LONGEST + 1, leakage.GRAIN):
+        assert math.gcd(*leakage.steps_of(size)) == 1
+
+
+def test_items_are_counted_before_any_is_left_out(spark, monkeypatch):
+    items, passages, docs = leak_fixture()
+    docs, table = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, context string")
+    whole = {tuple(r) for r in leakage.found(docs, table).collect()}
+    monkeypatch.setattr(leakage, "PASSAGES", 5)  # several blocks
+    assert {tuple(r) for r in leakage.found(docs, table).collect()} == whole
+    monkeypatch.setattr(leakage, "MAX_ITEMS", 10)
+    with pytest.raises(ValueError):
+        leakage.found(docs, table)
+
+
 def test_hamming_index_is_exact():
     import numpy as np
 
     _, passages, _ = leak_fixture()
     index = leakage.PassageIndex(passages)
     rng = np.random.default_rng(1)
-    prints = rng.integers(0, 2**63, 300, dtype=np.uint64)
-    prints[:150] = index.fingerprints[rng.integers(0, len(index.fingerprints), 150)] ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64))
-    near = np.bitwise_count(prints[:, None] ^ index.fingerprints[None]) <= leakage.RADIUS
-    assert set(index.candidates(prints)) == {(int(i), int(index.owner[j])) for i, j in zip(*np.nonzero(near))}
+    for size, (own, owner, _) in index.sizes.items():
+        prints = rng.integers(0, 2**63, 300, dtype=np.uint64)
+        bit = lambda: np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)
+        prints[:150] = own[rng.integers(0, len(own), 150)] ^ bit() ^ bit() ^ bit()
+        near = np.bitwise_count(prints[:, None] ^ own[None]) <= leakage.RADIUS
+        assert set(index.candidates(size, prints)) == {(int(i), int(owner[j])) for i, j in zip(*np.nonzero(near))}
