@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import chance, seeded_hash
-from skein.operators.running import running
+from skein.operators.running import Ordered, running
 
 MAX_TASKS = 10_000
 
@@ -26,7 +26,7 @@ def interleave(docs: DataFrame, source: str, order: str, size: Column, weights:
     sized = docs.withColumn("_size", F.coalesce(size.cast("double"), F.lit(0.0)))
     before = running(sized, [order], F.col("_size"), [source], "_before")
     total = sized.groupBy(source).agg(F.sum("_size").alias("_weight")) if weights is None else weights.select(source, F.col("weight").alias("_weight"))
-    joined = before.join(F.broadcast(total), before[source].eqNullSafe(total[source])).drop(total[source])  # one row a source
+    joined = before.join(total, before[source].eqNullSafe(total[source])).drop(total[source])
     return joined.withColumn("served", F.when(F.col("_weight") > 0, F.col("_before") / F.col("_weight")).otherwise(0.0)).drop("_size", "_before", "_weight")
 
 
@@ -34,7 +34,7 @@ def interleave_blocks(rows: DataFrame, source: str, order: str) -> DataFrame:
     """Adds ``slot``, (place + 1/2) / rows of the source, by which sources of any length are mixed evenly."""
     placed = running(rows, [order], None, [source], "_place")
     total = rows.groupBy(source).agg(F.count("*").alias("_n"))
-    joined = placed.join(F.broadcast(total), placed[source].eqNullSafe(total[source])).drop(total[source])
+    joined = placed.join(total, placed[source].eqNullSafe(total[source])).drop(total[source])
     return joined.withColumn("slot", (F.col("_place") + 0.5) / F.col("_n")).drop("_place", "_n")
 
 
@@ -43,7 +43,7 @@ def round_robin(files: DataFrame, subset: str, name: str) -> DataFrame:
     cycle = F.row_number().over(Window.partitionBy(subset).orderBy(name)) - 1
     first = files.groupBy(subset).agg(F.min(name).alias("_first"))
     ranked = first.withColumn("subset_no", F.row_number().over(Window.orderBy("_first")) - 1).drop("_first")  # one row a subset
-    return files.withColumn("cycle", cycle).join(F.broadcast(ranked), subset)
+    return files.withColumn("cycle", cycle).join(ranked, subset)
 
 
 def water_fill(weights: dict[str, float], caps: dict[str, float], total: float) -> dict[str, int]:
@@ -74,44 +74,26 @@ def resample(rows: DataFrame, task: str, key: str, draws: dict[str, int], seed:
     hashed = rows.withColumn("_h", seeded_hash(seed, F.col(key)))
     placed = running(hashed, ["_h", key], None, [task], "_place")
     pools = rows.groupBy(task).agg(F.count("*").alias("_pool"))
-    sized = placed.join(F.broadcast(pools.join(plan, task)), task)  # one row a task
+    sized = placed.join(pools.join(plan, task), task)
     copies = F.floor(F.col("_draws") / F.col("_pool")) + (F.col("_place") < F.col("_draws") % F.col("_pool")).cast("int")
     used = sized.withColumn("_copies", copies.cast("int")).where("_copies > 0")
     return used.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
 
 
-def _carried(df: DataFrame, value: Column, fold, inclusive: bool, out: str) -> DataFrame:
-    """Adds the fold (min or max) of the values up to a row, or before it, in the order of (_b, _h, _key).
-
-    Each bucket is a window of its own; what comes from the buckets before it is one
-    number for each of the at most 256 buckets.
-    """
-    held = df.withColumn("_v", value)
-    ends = held.groupBy("_b").agg(fold("_v").alias("_e"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select("_b", fold("_e").over(before).alias("_c"))
-    own = Window.partitionBy("_b").orderBy("_h", "_key").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    both = held.withColumn("_w", fold("_v").over(own)).join(F.broadcast(carry), "_b")
-    pick = F.least if fold is F.min else F.greatest
-    return both.withColumn(out, pick("_w", "_c")).drop("_v", "_w", "_c")
-
-
 def cap_ratio(rows: DataFrame, capped: Column, key: str, seed: int, share: float) -> DataFrame:
     """Keeps rows of the capped class only while they are at most ``share`` of what is kept, in hashed order.
 
     With A others before it, the t-th capped row is admitted exactly if the running
     total u_t = t + min(0, min over s <= t of floor(A_s * c) + 1 - s) rises, where
-    c = share / (1 - share).  Sums, the minimum and the maximum are carried over
-    ranges of the hash, so no task holds all rows.
+    c = share / (1 - share).  Sums, the minimum and the maximum are folds of one order.
     """
     c = share / (1 - share)
+    is_capped = F.col("_un") == 1
     marked = rows.withColumn("_h", seeded_hash(seed, F.col(key))).withColumn("_key", F.col(key)).withColumn("_un", F.coalesce(capped.cast("int"), F.lit(0)))
-    counted = running(running(marked, ["_h", "_key"], 1 - F.col("_un"), out="_a"), ["_h", "_key"], F.col("_un"), out="_s")
-    counted = counted.withColumn("_t", F.col("_s") + F.col("_un")).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
-    low = _carried(counted, F.when(F.col("_un") == 1, F.floor(F.col("_a") * c) + 1 - F.col("_t")), F.min, True, "_m")
-    level = low.withColumn("_u", F.when(F.col("_un") == 1, F.col("_t") + F.least(F.lit(0), F.col("_m"))))
-    top = _carried(level, F.col("_u"), F.max, False, "_p")
-    return top.where((F.col("_un") == 0) | (F.col("_u") > F.coalesce("_p", F.lit(0)))).select(*rows.columns)
+    o = Ordered(marked, ["_h", "_key"]).add(inclusive=True, _a=(F.sum, 1 - F.col("_un")), _t=(F.sum, F.col("_un")))
+    o.with_columns(_low=F.when(is_capped, F.floor(F.col("_a") * c) + 1 - F.col("_t"))).add(inclusive=True, _m=(F.min, F.col("_low")))
+    o.with_columns(_u=F.when(is_capped, F.col("_t") + F.least(F.lit(0), F.col("_m")))).add(_p=(F.max, F.col("_u")))
+    return o.df.where(~is_capped | (F.col("_u") > F.coalesce("_p", F.lit(0)))).select(*rows.columns)
 
 
 def cap_heads(rows: DataFrame, task: str, head: str, key: str, caps: dict[str, float], seed: int) -> DataFrame:
@@ -120,7 +102,7 @@ def cap_heads(rows: DataFrame, task: str, head: str, key: str, caps: dict[str, f
     hashed = rows.withColumn("_h", seeded_hash(seed, F.col(key)))
     placed = running(hashed, ["_h", key], None, [task, head], "_place")
     total = rows.groupBy(task).agg(F.count("*").alias("_n"))
-    sized = placed.join(F.broadcast(total), placed[task].eqNullSafe(total[task])).drop(total[task])
+    sized = placed.join(total, placed[task].eqNullSafe(total[task])).drop(total[task])
     most = F.greatest(F.lit(1), F.floor(F.col("_n") * share + 1e-9))
     return sized.where(share.isNull() | (F.coalesce(F.col(head), F.lit("")) == "") | (F.col("_place") < most)).select(*rows.columns)
 
@@ -144,9 +126,9 @@ def donate(train: DataFrame, val: DataFrame, key: str, seed: int, per_task: int,
 
 def trim(val: DataFrame, key: str, seed: int, per_task: int) -> DataFrame:
     """Adds ``kept``: at most max(1, V // sources) rows of a source and V of a task, in hashed order; the rest return to train."""
-    n = val.groupBy("task").agg(F.count_distinct("source").alias("_sources"))
+    sources = val.groupBy("task").agg(F.count_distinct("source").alias("_sources"))
     placed = running(val.withColumn("_h", seeded_hash(seed, F.col(key))), ["_h", key], None, ["task", "source"], "_place")
-    first = placed.join(F.broadcast(n), "task").withColumn("_in", F.col("_place") < F.greatest(F.lit(1), F.floor(F.lit(per_task) / F.col("_sources"))))
+    first = placed.join(sources, "task").withColumn("_in", F.col("_place") < F.greatest(F.lit(1), F.floor(F.lit(per_task) / F.col("_sources"))))
     second = running(first, ["_h", key], F.col("_in").cast("int"), ["task"], "_rank")
     return second.withColumn("kept", F.col("_in") & (F.col("_rank") < per_task)).select(*val.columns, "kept")
 
@@ -157,7 +139,7 @@ def sample_rows(rows: DataFrame, group: str, key: str, seed: int, most: int | No
     if share is None:
         return placed.where(F.col("_place") < most).select(*rows.columns)
     n = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    sized = placed.join(F.broadcast(n), placed[group].eqNullSafe(n[group])).drop(n[group])
+    sized = placed.join(n, placed[group].eqNullSafe(n[group])).drop(n[group])
     return sized.where(F.col("_place") < F.greatest(F.lit(1), F.floor(F.col("_n") * share))).select(*rows.columns)
 
 

@@ -1,53 +1,89 @@
-"""Running counts and sums in a total order, without one task holding a whole group.
+"""Running sums, minima and maxima in a total order, without one task holding a whole group.
 
-A window over a whole table, or over a group that may hold a third of it, runs in
-one task.  Here the order is cut into ranges at approximate percentiles of the key,
-each range is a window of its own and what stands before it is added from the sums
-of the ranges, of which there are at most ``ranges`` in each group.
+A window over a whole table, or over a group that may hold a third of it, runs in one
+task.  A table that the optimizer takes for larger than SMALL bytes is therefore cut
+into ranges of the order by Spark's range partitioning (its sample makes them even, and
+a group of any size is spread over several), written once with the number of the range,
+and every fold is a window within a range plus what the ranges before it give, of which
+there is one row a group and range.  Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from skein.operators.workspace import shared_folder
+
+SMALL = 64 << 20  # estimated bytes that one window may order, and of a range
+MOST_RANGES = 50_000
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of a table; it reads nothing."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read back, so that what follows does not compute it again."""
+    path = f"{shared_folder(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Ordered:
+    """A table in an order within groups, to which folds of what comes before a row are added."""
+
+    def __init__(self, df: DataFrame, order: list[str], group: list[str] = ()):
+        self.order, self.group = list(order), list(group)
+        size = estimated_bytes(df)
+        self.ranged = size > SMALL
+        if self.ranged:
+            ranges = int(min(MOST_RANGES, max(2, size // SMALL)))
+            df = written(df.repartitionByRange(ranges, *self.group, *self.order).withColumn("_r", F.spark_partition_id()))
+        self.df = df
+
+    def add(self, inclusive: bool = False, **folds: tuple) -> "Ordered":
+        """Adds columns ``name=(fold, value)``; the fold is F.sum, F.min or F.max over the rows before, and the row itself if inclusive."""
+        last = 0 if inclusive else -1
+        if not self.ranged:
+            w = Window.partitionBy(*(self.group or [F.lit(0)])).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, last)
+            self.df = self.df.select("*", *[_or_zero(fold, fold(value).over(w)).alias(name) for name, (fold, value) in folds.items()])
+            return self
+        own = Window.partitionBy(*self.group, "_r").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, last)
+        before = Window.partitionBy(*(self.group or [F.lit(0)])).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        whole = self.df.groupBy(*self.group, "_r").agg(*[fold(value).alias(f"_{name}") for name, (fold, value) in folds.items()])
+        carry = whole.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(self.group)], F.col("_r").alias("_of"), *[fold(f"_{name}").over(before).alias(f"_{name}") for name, (fold, _) in folds.items()])
+        local = self.df.select("*", *[fold(value).over(own).alias(name) for name, (fold, value) in folds.items()])
+        same = F.col("_r") == F.col("_of")
+        for k, g in enumerate(self.group):
+            same = same & local[g].eqNullSafe(F.col(f"_g{k}"))
+        joined = local.join(carry, same)
+        kept = [local[c] for c in self.df.columns]
+        self.df = written(joined.select(*kept, *[_joined(fold, F.col(f"_{name}"), local[name]).alias(name) for name, (fold, _) in folds.items()]))
+        return self
+
+    def with_columns(self, **columns: Column) -> "Ordered":
+        self.df = self.df.withColumns(columns)
+        return self
 
 
-def _cuts(df: DataFrame, key: str, ranges: int) -> list:
-    points = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 1000).alias("p")).first()["p"]
-    return sorted(set(points or []))
+def _or_zero(fold, value: Column) -> Column:
+    return F.coalesce(value, F.lit(0)) if fold is F.sum else value
 
 
-def _range_of(key: Column, cuts: list) -> Column:
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key))
+def _joined(fold, carry: Column, own: Column) -> Column:
+    if fold is F.sum:
+        return F.coalesce(carry, F.lit(0)) + F.coalesce(own, F.lit(0))
+    return F.least(carry, own) if fold is F.min else F.greatest(carry, own)
 
 
-def running(df: DataFrame, order: list[str], value: Column | None = None, group: list[str] = (), out: str = "before", ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, order: list[str], value: Column | None = None, group: list[str] = (), out: str = "before") -> DataFrame:
     """Adds the sum of ``value`` (1 if none) over the rows that come before, in their group.
 
-    ``order`` begins with a numeric or hexadecimal string key; the rest breaks ties,
-    so that the order is total.  Null keys come first.
+    The order is made total by its last columns; null keys come first.
     """
-    group = list(group)
-    first = dict(df.dtypes)[order[0]]
-    key = F.conv(F.substring(order[0], 1, 12), 16, 10).cast("bigint") if first == "string" else F.col(order[0]).cast("double")
-    keyed = df.withColumn("_k", F.coalesce(key.cast("double"), F.lit(-1.7e308))).withColumn("_v", F.lit(1) if value is None else value)
-    cut = keyed.withColumn("_r", _range_of(F.col("_k"), _cuts(keyed, "_k", ranges)))
-    sums = cut.groupBy(*group, "_r").agg(F.sum("_v").alias("_s"))
-    w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*group, "_r", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_o"))
-    own = Window.partitionBy(*group, "_r").orderBy(*[F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.withColumn("_w", F.coalesce(F.sum("_v").over(own), F.lit(0)))
-    same = [placed[c].eqNullSafe(offsets[c]) for c in [*group, "_r"]]
-    joined = placed.join(offsets, same[0] if len(same) == 1 else _all(same))
-    return joined.select(*[placed[c] for c in df.columns], (F.col("_o") + F.col("_w")).alias(out))
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+    o = Ordered(df.withColumn("_v", F.lit(1) if value is None else value), order, group).add(**{out: (F.sum, F.col("_v"))})
+    return o.df.select(*df.columns, out)

@@ -49,19 +49,31 @@ def packed_blocks(docs: DataFrame, order: list[str], n: Column, block: int) -> D
 
 
 def windows(shards: DataFrame, seq: int) -> DataFrame:
-    """Adds the number of windows of a shard and the first window id; shards of ``seq + 1`` tokens or fewer have none.
+    """Adds the number of windows of a shard and the first window id; shards of ``seq + 1`` tokens or fewer have none,
+    and a set of shards without any window is an error.
 
     There is one row a shard, so a single window orders them.
     """
     n = F.greatest(F.col("n_tokens") - (seq + 1), F.lit(0))
     w = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    if not shards.isEmpty() and shards.where(n > 0).isEmpty():
+        raise ValueError(f"no shard is longer than {seq + 1} tokens")
     return shards.withColumn("n_windows", n).withColumn("first_window", F.coalesce(F.sum(n).over(w), F.lit(0)))
 
 
 def locate(ids: DataFrame, shards: DataFrame) -> DataFrame:
-    """The shard and start of each window id; ``shards`` comes from ``windows`` and has one row a shard."""
-    hit = (F.col("window_id") >= F.col("first_window")) & (F.col("window_id") < F.col("first_window") + F.col("n_windows"))
-    return ids.join(F.broadcast(shards), hit).select(*ids.columns, "shard", (F.col("window_id") - F.col("first_window")).alias("start"))
+    """The shard and start of each window id; ``shards`` comes from ``windows`` and has one row a shard.
+
+    Ids and shards meet by equal stretches of ids, as long as a shard has windows on
+    average, so a stretch meets a shard or two.
+    """
+    mean = shards.agg(F.avg("n_windows")).first()[0] or 1
+    width = max(1, int(mean))
+    end = F.col("first_window") + F.col("n_windows") - 1
+    of = shards.where("n_windows > 0").select("shard", "first_window", "n_windows", F.explode(F.sequence(F.floor(F.col("first_window") / width), F.floor(end / width))).alias("_stretch"))
+    hit = (F.col("window_id") >= F.col("first_window")) & (F.col("window_id") <= end)
+    at = ids.withColumn("_stretch", F.floor(F.col("window_id") / width))
+    return at.join(of, "_stretch").where(hit).select(*ids.columns, "shard", (F.col("window_id") - F.col("first_window")).alias("start"))
 
 
 def batch_windows(steps: DataFrame, total: int, batch: int, seed: int, rank: int = 0, world: int = 1) -> DataFrame:

@@ -8,7 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where none is, as in tests."""
+    """The cluster's checkpoint folder.
+
+    Where none is set a temporary one serves a local session, as in tests; on a cluster,
+    whose executors could not share it, that is an error.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -18,5 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='skein-')}")
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")

@@ -6,15 +6,25 @@ from pyspark.sql import functions as F
 from skein.operators import mixing as M
 from skein.operators import normalise as N
 from skein.operators import tokens as T
+from skein.operators import running as R
 from skein.operators.running import running
 
 
-def test_running_matches_a_loop(spark):
+@pytest.fixture(params=["one window", "ranges"])
+def size(request, monkeypatch):
+    """Both ways of a running fold: a single window, and ranges written to the shared folder."""
+    if request.param == "ranges":
+        monkeypatch.setattr(R, "SMALL", 1)
+        monkeypatch.setattr(R, "MOST_RANGES", 7)
+    return request.param
+
+
+def test_running_matches_a_loop(spark, size):
     rng = random.Random(1)
     rows = [(i, rng.choice("aab"), rng.randint(0, 9)) for i in rng.sample(range(10_000), 400)] + [(None, "a", 1)]
     df = spark.createDataFrame(rows, "k int, g string, v int")
     for group in ([], ["g"]):
-        got = {(r.k, r.g): r.before for r in running(df, ["k", "v"], F.col("v"), group, ranges=8).collect()}
+        got = {(r.k, r.g): r.before for r in running(df, ["k", "v"], F.col("v"), group).collect()}
         seen = {}
         for k, g, v in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0])):
             key = g if group else None
@@ -38,7 +48,8 @@ def test_resample(spark):
     assert counts == {"a": (13, 3), "b": (7, 1)}
 
 
-def test_cap_ratio_matches_a_loop(spark):
+def test_cap_ratio_matches_a_loop(spark, size):
+    """A capped row goes while those kept are more than a quarter of all that is kept so far."""
     rng = random.Random(3)
     rows = [(i, rng.random() < 0.5) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, un boolean")
@@ -46,12 +57,32 @@ def test_cap_ratio_matches_a_loop(spark):
     un, kept, u = dict(rows), [], 0
     for i in order:
         if un[i]:
-            if u + 1 > 0.25 * max(1, len(kept) + 1):
+            if u > 0.25 * max(1, len(kept)):
                 continue
             u += 1
         kept.append(i)
-    got = {r.id for r in M.cap_ratio(df, F.col("un"), "id", 9, 0.25).collect()}
-    assert abs(len(got) - len(kept)) <= 1
+    assert {r.id for r in M.cap_ratio(df, F.col("un"), "id", 9, 0.25).collect()} == set(kept)
+
+
+def test_one_group_of_a_third_of_all_rows(spark, size):
+    """A hot group is spread over ranges; trim and donate give it what a window would."""
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i}", "t") for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, source string, task string")
+    out = running(df, ["id"], None, ["source"], "n").where("source = 'hot'").orderBy("id").collect()
+    assert [r.n for r in out] == list(range(300))
+    assert M.sample_rows(df, "source", "id", 1, most=5).where("source = 'hot'").count() == 5
+    assert M.trim(df, "id", 1, 1200).where("kept and source = 'hot'").count() == 1
+
+
+def test_plans_read_their_table_once(spark, tmp_path):
+    folder = str(tmp_path / "plan")
+    df = spark.range(1000).selectExpr("id", "id % 3 = 0 as un", "'t' as task", "'s' as source")
+    df.write.mode("overwrite").parquet(folder)
+    table = spark.read.parquet(folder)
+    plan = M.cap_ratio(table, F.col("un"), "id", 9, 0.25)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") <= 2
+    shards = T.windows(spark.createDataFrame([(0, 5000), (1, 90)], "shard bigint, n_tokens bigint"), 15)
+    assert "NestedLoop" not in T.locate(spark.range(10).withColumnRenamed("id", "window_id"), shards)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_cap_heads(spark):
@@ -79,6 +110,8 @@ def test_windows_and_shards(spark):
     shards = spark.createDataFrame([(0, 1000), (1, 1000), (2, 500), (3, 10)], "shard bigint, n_tokens bigint")
     w = T.windows(shards, 15)
     assert [(r.n_windows, r.first_window) for r in w.orderBy("shard").collect()] == [(984, 0), (984, 984), (484, 1968), (0, 2452)]
+    with pytest.raises(ValueError):
+        T.windows(shards, 5000)
     ids = spark.createDataFrame([(0,), (984,), (2451,)], "window_id bigint")
     assert [(r.shard, r.start) for r in T.locate(ids, w).orderBy("window_id").collect()] == [(0, 0), (1, 0), (2, 483)]
     assert [r.split for r in T.split_shards(shards, 9).orderBy("shard").collect()] == ["train", "val", "val", "val"]
