@@ -333,3 +333,17 @@ def drop_reason(chosen: Column, rejected: Column, similar: Column) -> Column:
     c, r = F.coalesce(chosen, F.lit("")), F.coalesce(rejected, F.lit(""))
     fits = F.length(c).between(MIN_REPLY, MAX_REPLY) & F.length(r).between(MIN_REPLY, MAX_REPLY)
     return F.when((c == "") | (r == ""), F.lit("malformed")).when(~fits, F.lit("length")).when(similar, F.lit("similar"))
+
+
+def greetings(rows: DataFrame, id_col: str = "row_id", stored: str = "messages") -> DataFrame:
+    """``(id, source, task, messages)``: first exchanges of stored conversations that are a greeting of the user and a short reply.
+
+    Unreadable rows, those of fewer than two turns and those that another role opens give
+    nothing; both turns lose their outer white space.
+    """
+    turns = F.from_json(F.col(stored).cast("string"), MESSAGES)
+    first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    pair = rows.select(F.col(id_col).alias("id"), turns.alias("t")).where(F.size("t") >= 2).where(first["role"] == "user")
+    said = pair.select("id", X.strip(first["content"]).alias("asked"), X.strip(second["content"]).alias("reply"))
+    kept = said.where(X.is_greeting(F.col("asked")) & (F.col("reply") != "") & (X.n_words(F.col("reply")) <= X.GREETING_REPLY_WORDS))
+    return kept.select("id", F.lit("smoltalk-greetings").alias("source"), F.lit("smalltalk").alias("task"), exchange(F.col("asked"), F.col("reply")).cast(MESSAGES).alias("messages"))

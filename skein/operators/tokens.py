@@ -205,6 +205,21 @@ def render_pair(prompt: list[tuple[str, list[int]]], chosen: list[int], rejected
     return ids, c, r
 
 
+def rendered_pairs(rows: DataFrame, id_col: str, prompt: str, chosen: str, rejected: str, seq: int) -> DataFrame:
+    """``(id, prompt, chosen, rejected)``: ids of the pairs that fit ``seq`` tokens, see ``render_pair``; null replies are empty."""
+    ids = lambda text: list((text or "").encode())
+
+    def run(frames):
+        for pdf in frames:
+            out = [render_pair([(t["role"], ids(t["content"])) for t in p], ids(c), ids(r), seq) if p is not None else None for p, c, r in zip(pdf["p"], pdf["c"], pdf["r"])]
+            keep = [k for k, x in enumerate(out) if x is not None]
+            yield pd.DataFrame({"id": pdf["id"].iloc[keep].to_numpy(), **{name: [out[k][j] for k in keep] for j, name in enumerate(("prompt", "chosen", "rejected"))}})
+
+    kind = dict(rows.dtypes)[id_col]
+    some = rows.select(F.col(id_col).alias("id"), F.col(prompt).alias("p"), F.col(chosen).alias("c"), F.col(rejected).alias("r"))
+    return some.mapInPandas(run, f"id {kind}, prompt array<int>, chosen array<int>, rejected array<int>").withColumnRenamed("id", id_col)
+
+
 def shifted(ids: Column, mask: Column) -> Column:
     """(xs, ys): inputs and the next tokens, IGNORE where not supervised."""
     n = F.size(ids) - 1

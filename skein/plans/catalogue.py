@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.plans import corpus, evaluation, mixtures, tokens  # noqa: F401
+from skein.plans import corpus, evaluation, mixtures, schemas, tokens  # noqa: F401
 from skein.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

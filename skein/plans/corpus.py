@@ -126,7 +126,27 @@ def d6_chunks(t):
     return C.corpus_chunks(docs).select("doc_id", "chunk_no", "chunk")
 
 
-@query()
+RUNNING_HEADERS = f"""
+p as (select distinct page_id, doc, text from textbook_pages), b as (select doc, count(*) as n_pages from p where doc is not null group by doc having count(*) >= 8),
+l as (select distinct doc, page_id, {strip_sql("unnest(string_split(text, chr(10)))")} as line from p where text is not null),
+h as (select doc, line, n, n_pages from (select doc, line, count(*) as n from l where length(line) between 1 and 80 group by doc, line) join b using (doc) where n >= greatest(3, floor(n_pages * 0.25)))"""
+
+
+@query(rf"""
+with recursive {RUNNING_HEADERS},
+a as (select page_id, doc, i, {strip_sql("raw")} as line from (select page_id, doc, generate_subscripts(x, 1) as i, unnest(x) as raw from (select *, string_split_regex(text, '\r\n|[\n\r\v\x0C\x1C-\x1E\x{{0085}}\x{{2028}}\x{{2029}}]') as x from p where text is not null))),
+k as (select page_id, line, row_number() over (partition by page_id order by i) as k from a where line = '' or not (exists (select 1 from h where h.doc = a.doc and h.line = a.line)
+  or regexp_matches(line, '(?i)^\s*(page\s+)?\d{{1,4}}\s*(of\s+\d{{1,4}})?\s*$') or regexp_matches(line, '^[^a-z]{{1,40}}$') or length(regexp_replace(line, '[^A-Za-z]', '', 'g')) / length(line) < 0.55)),
+r as (select page_id, 0::bigint as k, '' as open, []::varchar[] as done from p where text is not null
+  union all
+  select page_id, k, case when line = '' or closes then '' else grown end, case when line = '' then case when open = '' then done else list_append(done, open) end when closes then list_append(done, grown) else done end
+  from (select *, not broken and regexp_matches(line, '[.!?:;"'')\]]\s*$') and length(grown) > 600 as closes from (
+    select k.page_id, k.k, k.line, r.open, r.done, regexp_matches(r.open, '[\pL\pN_]-\s*$') as broken,
+      case when r.open = '' then k.line when regexp_matches(r.open, '[\pL\pN_]-\s*$') then regexp_replace(r.open, '-\s*$', '') || k.line else r.open || ' ' || k.line end as grown
+    from r join k on k.page_id = r.page_id and k.k = r.k + 1))),
+e as (select page_id, list_append(arg_max(done, k), arg_max(open, k)) as done from r group by page_id),
+f as (select page_id, list_filter(list_transform(done, lambda x: regexp_replace({strip_sql("x")}, '{WS}+', ' ', 'g')), lambda x: length(x) >= 200 and length(regexp_replace(x, '[^A-Za-z]', '', 'g')) >= 0.9 * length(regexp_replace(x, '[^\p{{L}}]', '', 'g'))) as ps from e)
+select page_id, (generate_subscripts(ps, 1) - 1)::int as paragraph_no, unnest(ps) as paragraph from f""")
 def d7_paragraphs(t):
     """Paragraphs of the textbook pages, running headers dropped."""
     pages = t("textbook_pages").select("page_id", "doc", "text").dropDuplicates(["page_id"])
@@ -144,11 +164,7 @@ def running_headers(pages):
     return counts.join(n, "doc").where(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("n_pages") * 0.25))).select("doc", "line", "n", "n_pages")
 
 
-@query(f"""
-with p as (select distinct page_id, doc, text from textbook_pages), b as (select doc, count(*) as n_pages from p where doc is not null group by doc having count(*) >= 8),
-l as (select distinct doc, page_id, {strip_sql("unnest(string_split(text, chr(10)))")} as line from p where text is not null)
-select doc, line, n, n_pages from (select doc, line, count(*) as n from l where length(line) between 1 and 80 group by doc, line) join b using (doc)
-where n >= greatest(3, floor(n_pages * 0.25))""")
+@query(f"with {RUNNING_HEADERS} select doc, line, n, n_pages from h")
 def g6_running_headers(t):
     """Document frequency of lines within each book."""
     return running_headers(t("textbook_pages").select("page_id", "doc", "text").dropDuplicates(["page_id"]))
@@ -163,7 +179,10 @@ def d35_sentences(t):
     return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), (F.array_join("s", "") == F.col("text")).alias("lossless"), F.get("s", F.lit(0)).alias("first_sentence"))
 
 
-@query()
+@query(rf"""
+with b as (select doc_id, string_split_regex(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '\n[\s\v]*\n') as blocks from documents where text is not null),
+s as (select doc_id, list_filter(list_transform(flatten(list_transform(blocks, lambda x: regexp_extract_all(regexp_replace({strip_sql("x")}, '{WS}+', ' ', 'g'), '([^.!?]*[.!?]|[^.!?]+)', 1))), lambda y: {strip_sql("y")}), lambda z: z <> '') as ss from b)
+select doc_id, (generate_subscripts(ss, 1) - 1)::int as no, unnest(ss) as sentence from s""")
 def d36_training_sentences(t):
     """ASCII training sentences of each document."""
     return t("documents").where("text is not null").select("doc_id", F.posexplode(X.training_sentences(F.col("text"))).alias("no", "sentence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions.chunking import similar_pair
+from skein.functions.chunking import with_similar
 from skein.operators import mixing as M
 from skein.operators import normalise as N
 from skein.plans.base import query
@@ -247,19 +247,30 @@ def c21_reply_lengths(t):
     return d.select("row_id", F.coalesce(N.drop_reason(F.col("c"), F.col("r"), F.lit(False)), F.lit("fits")).alias("state"))
 
 
-@query()
+SIMILAR = """
+s as (select *, least(length(a), length(b)) as short, greatest(length(a), length(b)) as longest from p),
+h as (select *, (select max(i) from range(0, short + 1) x(i) where left(a, i::int) = left(b, i::int)) as head from s),
+e as (select *, (select max(i) from range(0, short - head + 1) x(i) where right(a, i::int) = right(b, i::int)) as tail from h),
+m as (select *, a = b or (longest - least(head + tail, short)) / longest < 0.02 as alike from e)"""
+
+
+@query(f"""
+with p as (select distinct row_id, source, {strip_sql(f"regexp_replace(coalesce(chosen, ''), '{FOREIGN}', '', 'g')")} as a, {strip_sql(f"regexp_replace(coalesce(rejected, ''), '{FOREIGN}', '', 'g')")} as b from dpo_train), {SIMILAR}
+select source, case when a = '' or b = '' then 'malformed' when length(a) not between 8 and 4000 or length(b) not between 8 and 4000 then 'length' when alike then 'similar' else 'kept' end as reason, count(*) as n from m group by all""")
 def f25_drop_reasons(t):
     """Counts of the preference pairs by reason: malformed, length, similar or kept."""
     d = t("dpo_train").dropDuplicates(["row_id"]).select("source", X.clean(F.col("chosen")).alias("c"), X.clean(F.col("rejected")).alias("r"))
-    d = d.withColumn("similar", similar_pair(F.col("c"), F.col("r")))
+    d = with_similar(d, "c", "r")
     return d.groupBy("source", F.coalesce(N.drop_reason(F.col("c"), F.col("r"), F.col("similar")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+with p as (select distinct row_id, chosen as a, rejected as b from dpo_train where chosen is not null and rejected is not null), {SIMILAR}
+select row_id from m where alike""")
 def d16_similar_pairs(t):
     """Pairs whose replies differ in less than a fiftieth of the longer one."""
     d = t("dpo_train").where("chosen is not null and rejected is not null").select("row_id", "chosen", "rejected").dropDuplicates(["row_id"])
-    return d.where(similar_pair(F.col("chosen"), F.col("rejected"))).select("row_id")
+    return with_similar(d, "chosen", "rejected").where("similar").select("row_id")
 
 
 @query(f"""
@@ -298,43 +309,27 @@ def d20_prompt_choice(t):
     return t("eval_items").select("item_id", X.choose(REASONING_PROMPTS, f"{N.SEED}-prompt", F.col("item_id")).alias("prompt"), (X.chance(f"{N.SEED}-think", F.col("item_id")) < N.THINK_SHARE).alias("thinks"))
 
 
-@query()
-def f15_choice_conversations(t):
-    """Multiple-choice items as conversations."""
-    items = t("eval_items").where("answer is not null")
-    labels = F.transform("choices", lambda c, i: F.char(i + 65))
-    rows = items.select(F.col("item_id").alias("id"), F.col("context").alias("question"), F.struct(F.col("choices").alias("text"), labels.alias("label")).alias("choices"), F.char(F.col("answer").cast("int") + 65).alias("answerKey"))
-    return N.conversations("arc-challenge", rows).select("id", "source", "task", F.to_json("messages").alias("messages"))
-
-
-@query()
-def f21_pairs(t):
-    """Preference rows rebuilt from full message lists, branches with one prompt only."""
-    rows = t("dpo_train").dropDuplicates(["row_id"]).withColumn("p", N.parse_turns(F.col("prompt"))).where("p is not null")
-    branch = lambda c: F.concat("p", F.array(N.message("assistant", F.col(c)))).cast(N.MESSAGES)
-    made = rows.where("chosen is not null and rejected is not null").select(F.col("row_id").alias("id"), branch("chosen").alias("chosen"), branch("rejected").alias("rejected"))
-    return N.preferences("messages_pair", made, "ultrafeedback", "helpful").select("id", "task", F.to_json("prompt").alias("prompt"), "chosen", "rejected")
-
-
 @query(rf"""
-with r as (select distinct row_id, json_extract_string(messages, '$[1].content') as reply from sft_train where lower(trim(task)) = 'math' and json_valid(messages))
-select row_id, case when instr(reply, 'Thinking:') = 0 then {strip_sql('reply')} else '' end as bare, instr(reply, 'Thinking:') > 0 as has_thinking from r where reply is not null and instr(reply, 'Thinking:') = 0""")
+with r as (select item_id, case coalesce(answer, 3) when 0 then context when 1 then 'Thinking: ' || context when 2 then 'So. Thinking: ' || context || chr(10) || 'Answer: ' || choices[1] else 'Answer: ' || context end as reply from eval_items)
+select item_id, case when instr(reply, 'Thinking:') = 0 then '' else {strip_sql("split_part(substr(reply, instr(reply, 'Thinking:') + 9), 'Answer:', 1)")} end as thinking,
+case when instr(reply, 'Thinking:') = 0 then {strip_sql('reply')} when instr(substr(reply, instr(reply, 'Thinking:') + 9), 'Answer:') = 0 then ''
+  else {strip_sql("substr(substr(reply, instr(reply, 'Thinking:') + 9), instr(substr(reply, instr(reply, 'Thinking:') + 9), 'Answer:') + 7)")} end as answer from r""")
 def d11_split_thinking(t):
-    """Replies of the maths rows without a scratchpad; they are the answer."""
-    rows = t("sft_train").where(F.lower(F.trim("task")) == "math").select("row_id", F.get(F.from_json("messages", "array<struct<content:string>>"), F.lit(1))["content"].alias("reply")).distinct().where("reply is not null")
-    parts = rows.withColumn("p", X.split_thinking(F.col("reply"))).where("instr(reply, 'Thinking:') = 0")
-    return parts.select("row_id", F.col("p.answer").alias("bare"), (F.instr("reply", "Thinking:") > 0).alias("has_thinking"))
+    """Scratchpad and answer of replies with both, with a scratchpad cut off, and with neither."""
+    reply = F.expr("""case coalesce(answer, 3) when 0 then context when 1 then 'Thinking: ' || context when 2 then 'So. Thinking: ' || context || char(10) || 'Answer: ' || choices[0] else 'Answer: ' || context end""")
+    return t("eval_items").select("item_id", X.split_thinking(reply).alias("p")).select("item_id", "p.thinking", "p.answer")
 
 
-@query("""
-with r as (select distinct row_id, task, json_extract_string(messages, '$[0].content') as asked, json_extract_string(messages, '$[1].content') as reply from sft_train where json_valid(messages))
-select row_id, asked, reply from r where regexp_matches(asked, '(?i)^\\s*(hi|hey|hello|yo|howdy|greetings|good\\s+(morning|afternoon|evening)|what''?s\\s+up|sup|how\\s+are\\s+you|thanks|thank\\s+you|bye|goodbye)\\b')
-and trim(reply) <> '' and len(list_filter(string_split_regex(trim(reply), '\\s+'), lambda x: x <> '')) <= 45""")
+@query(f"""
+with r as (select distinct row_id, json_extract_string(messages, '$[0].role') as role, {strip_sql("json_extract_string(messages, '$[0].content')")} as asked, {strip_sql("json_extract_string(messages, '$[1].content')")} as reply
+  from sft_train where json_valid(messages) and json_array_length(messages) >= 2)
+select row_id, asked, reply from r where role = 'user' and reply <> '' and len(list_filter(string_split_regex(reply, '\\s+'), lambda x: x <> '')) <= 45
+and regexp_matches(asked, '(?i)^(hi|hello|hey|yo|howdy|greetings|good (morning|afternoon|evening|day)|how are you( doing)?|how''?s it going)\\b[\\s!.,?]*$')""")
 def f26_greetings(t):
-    """First exchanges that open with a greeting and get a short reply."""
-    turns = F.from_json("messages", "array<struct<content:string>>")
-    r = t("sft_train").select("row_id", F.get(turns, F.lit(0))["content"].alias("asked"), F.get(turns, F.lit(1))["content"].alias("reply")).distinct()
-    return r.where(X.is_greeting(F.col("asked")) & (F.trim("reply") != "") & (X.n_words(F.col("reply")) <= 45))
+    """First exchanges that are a greeting and get a short reply."""
+    rows = N.greetings(t("sft_train").select("row_id", "messages").dropDuplicates(["row_id"]))
+    said = lambda k: F.get("messages", F.lit(k))["content"]
+    return rows.select(F.col("id").alias("row_id"), said(0).alias("asked"), said(1).alias("reply"))
 
 
 @query(f"""

@@ -128,21 +128,45 @@ def d26_render(t):
     return r.select("row_id", F.size("ids").cast("bigint").alias("n_ids"), total.cast("bigint").alias("n_supervised"))
 
 
-@query()
+TURNS = """
+m as (select distinct row_id, prompt, chosen, rejected from dpo_train where json_valid(prompt) and json_type(prompt) = 'ARRAY' and json_array_length(prompt) > 0 and chosen is not null),
+e as (select row_id, i, lower(trim(coalesce(json_extract_string(prompt, '$[' || i || '].role'), json_extract_string(prompt, '$[' || i || '].from'), ''))) as r,
+  coalesce(json_extract_string(prompt, '$[' || i || '].content'), json_extract_string(prompt, '$[' || i || '].value')) as content from m, unnest(range(0, json_array_length(prompt)::bigint)) as x(i)),
+ok as (select row_id from e group by row_id having bool_and(r in ('user', 'assistant', 'human', 'gpt') and content is not null)),
+u as (select row_id, i, case r when 'human' then 'user' when 'gpt' then 'assistant' else r end as role, content from e semi join ok using (row_id)),
+t as (select * from u union all select row_id, json_array_length(prompt), 'assistant', chosen from m semi join ok using (row_id)),
+z as (select row_id, i, role, octet_length(encode(content)) as n, list_transform(range(0, octet_length(encode(content))), lambda k: ('0x' || substr(hex(encode(content)), (2 * k + 1)::int, 2))::int) as b from t)"""
+
+
+@query(f"""
+with {TURNS},
+c as (select *, 1 + n + (role = 'assistant')::int as cost, case when role = 'assistant' then n + 1 else 0 end as sup, row_number() over (partition by row_id order by i) as k, count(*) over (partition by row_id) as turns from z),
+f as (select *, 1 + sum(cost) over (partition by row_id order by k desc) as whole, sum(sup) over (partition by row_id order by k desc) as supervised, lead(n) over (partition by row_id order by k) as answer from c),
+g as (select *, row_number() over (partition by row_id order by k) as tried from f where (k = 1 or role = 'user') and (whole <= 512 or turns - k + 1 <= 2))
+select row_id, (case when whole <= 512 then whole else 512 end)::int as n_ids, supervised::int as n_supervised from g
+where tried = 1 and (whole <= 512 or (turns - k + 1 = 2 and role = 'user' and 512 - (whole - n) >= 48))""")
 def d26_truncated(t):
     """Conversations rendered into 512 tokens: oldest turns dropped, then the middle of the lone question."""
     r = T.rendered(_turns(t), "row_id", "turns", 512)
     return r.select("row_id", F.size("ids").alias("n_ids"), F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("n_supervised"))
 
 
-@query()
+@query(f"""
+with {TURNS},
+p as (select row_id, list_concat([256], flatten(list(list_concat(list_concat([case when role = 'user' then 260 else 261 end], b), case when role = 'assistant' then [257] else [] end) order by i))) as ids,
+  list_concat([0], flatten(list(list_concat([0], list_transform(range(0, n + (role = 'assistant')::int), lambda k: (role = 'assistant')::int)) order by i))) as mask from z group by row_id)
+select row_id, ids[1:len(ids) - 1] as xs, list_transform(ids[2:], lambda v, k: case when mask[k + 1] = 1 then v else -100 end) as ys from p""")
 def d29_batch(t):
     """Inputs and targets of each conversation."""
     xy = stage(_rendered(t), b=T.shifted(F.col("ids"), F.col("mask")))
     return xy.select("row_id", "b.xs", "b.ys")
 
 
-@query()
+@query(f"""
+with {TURNS},
+p as (select row_id, sum(case when role = 'assistant' then n + 1 else 0 end) as s from z group by row_id),
+w as (select row_id, s, case when s > 1 then least(4.0, greatest(1.0, 0.02 * (s - 1) / (1 - 0.02))) else 1.0 end as e from p)
+select row_id, e::double as end_weight, (s - 1 + e)::double as total_weight from w""")
 def d30_loss_weights(t):
     """Weight of the closing end of each conversation at a share of two hundredths."""
     w = stage(_rendered(t), w=T.loss_weights(F.col("ids"), F.col("mask"), 0.02, 4.0))
@@ -210,3 +234,33 @@ from (select s_suppkey, s_suppkey * 3571 as b from supplier)""")
 def d34_human_bytes(t):
     """Readable sizes."""
     return t("supplier").select("s_suppkey", X.human_bytes(F.col("s_suppkey") * 3571).alias("size"))
+
+
+MERGES = [(105, 110), (97, 110), (262, 103), (111, 110), (111, 117)]  # in, an, ing, on, ou
+
+
+@query("""
+with a as (select doc_id, text, replace(replace(text, 'in', chr(57344)), 'an', chr(57345)) as x from documents where text is not null),
+b as (select doc_id, text, replace(replace(replace(x, chr(57344) || 'g', chr(57346)), 'on', chr(57347)), 'ou', chr(57348)) as x from a)
+select doc_id, octet_length(encode(text)) - (length(text) - length(x)) + 1 as n_ids, length(x) - length(replace(x, chr(57346), '')) as n_ing, true as lossless from b""")
+def d23_encode(t):
+    """Ids of every document by a table of merges, its end appended, and back."""
+    from skein.functions.merges import decoder, encoder
+
+    docs = t("documents").where("text is not null").select("doc_id", "text")
+    coded = docs.withColumn("ids", encoder(MERGES, T.EOS)(F.col("text")))
+    back = coded.withColumn("back", decoder(MERGES)(F.col("ids")))
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.size(F.filter("ids", lambda i: i == T.FIRST_MERGE + 2)).cast("bigint").alias("n_ing"), (F.col("back") == F.concat("text", F.lit("<|EOS|>"))).alias("lossless"))
+
+
+@query(f"""
+with {TURNS},
+c as (select row_id, 2 + sum(1 + n) as p from z where (row_id, i) not in (select row_id, max(i) from z group by row_id) group by row_id),
+d as (select c.row_id, p, octet_length(encode(chosen)) + 1 as a, octet_length(encode(rejected)) + 1 as b, greatest(octet_length(encode(chosen)), octet_length(encode(rejected))) + 1 as l from c join m using (row_id) where rejected is not null)
+select row_id, case when p + l > 768 then 768 - l else p end as n_prompt, a as n_chosen, b as n_rejected from d where l + 8 < 768 and (p + l <= 768 or 768 - l - 2 >= 32)""")
+def d27_pairs(t):
+    """Preference pairs rendered into 768 tokens: one prompt, cut after its first two ids where it is too long, and two ended replies."""
+    rows = t("dpo_train").select("row_id", "prompt", "chosen", "rejected").dropDuplicates(["row_id"]).withColumn("p", N.parse_turns(F.col("prompt")))
+    good = rows.where("size(p) > 0 and chosen is not null and rejected is not null and forall(p, x -> x.role in ('user', 'assistant') and x.content is not null)")
+    r = T.rendered_pairs(good, "row_id", "p", "chosen", "rejected", 768)
+    return r.select("row_id", *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("prompt", "chosen", "rejected")])

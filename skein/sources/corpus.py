@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
-from skein.functions.chunking import MAX_CHUNK, MIN_CHUNK, corpus_chunks, pack_sentences
+from skein.functions.chunking import MAX_CHUNK, MIN_CHUNK, PACK_MOST, PACK_SIZE, corpus_chunks, packed_sentences
 
 TEXT_COLUMNS = ("text", "content")
 UNCHECKED = ("cosmopedia", "python-edu")  # sources whose language column is not looked at
@@ -62,39 +62,48 @@ def parquet_documents(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([], DOCUMENT) if out is None else out
 
 
+ENCYCLOPEDIA = "source string, chunk string"
+
+
 def parquet_chunks(spark: SparkSession, root: str, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
     """``(source, chunk_no, chunk)`` of the documents of a root, other scripts removed."""
     docs = parquet_documents(spark, root).withColumn("text", X.strip_foreign(F.col("text")))
     return corpus_chunks(docs, "text", least, most)
 
 
-def encyclopedia_chunks(spark: SparkSession, path: str, size: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """``(source, chunk)`` of a gzipped or zipped text file, sentences packed until the size is reached; absent, empty.
+def encyclopedia_chunks(spark: SparkSession, path: str, size: int = PACK_SIZE, most: int = PACK_MOST) -> DataFrame:
+    """``(source, chunk)`` of a text file, gzipped or zipped or plain, sentences packed until the size is reached; absent, empty.
 
-    The packing runs on in file order, so a file is one task; split the file to spread it.
+    The packing runs on in file order, so a file is one task, which reads it line by line;
+    give a folder of files to spread them.
     """
     if not os.path.exists(path):
-        return spark.createDataFrame([], "source string, chunk string")
-
-    def lines(name: str, content: bytes) -> Iterator[str]:
-        if name.endswith(".zip"):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for member in sorted(z.namelist()):
-                    yield from z.read(member).decode("utf-8", "replace").splitlines()
-        elif name.endswith(".gz"):
-            import gzip
-
-            yield from gzip.decompress(content).decode("utf-8", "replace").splitlines()
-        else:
-            yield from content.decode("utf-8", "replace").splitlines()
-
-    def run(frames):
+        return spark.createDataFrame([], ENCYCLOPEDIA)
+
+    def spans(lines: Iterator[str]):
+        held = []
+        for span in packed_sentences(lines, size, most):
+            held.append(span)
+            if len(held) == 256:
+                yield pd.DataFrame({"source": "wikipedia", "chunk": held})
+                held = []
+        yield pd.DataFrame({"source": "wikipedia", "chunk": pd.Series(held, dtype=object)})
+
+    def unzipped(frames):
         for pdf in frames:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                pieces = pack_sentences(list(lines(name, content)), size, most)
-                yield pd.DataFrame({"source": "wikipedia", "chunk": pieces})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source string, chunk string")
+            for content in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in sorted(z.namelist()):
+                        with z.open(member) as f:
+                            yield from spans(line.decode("utf-8", "ignore") for line in f)
+
+    def read(frames):
+        yield from spans(line.replace("\ufffd", "") for pdf in frames for line in pdf["value"])
+
+    if path.endswith(".zip"):
+        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzipped, ENCYCLOPEDIA)
+    files = spark.read.text(path).select("value")
+    return (files if path.endswith(".gz") else files.coalesce(1)).mapInPandas(read, ENCYCLOPEDIA)
 
 
 def book_pages(spark: SparkSession, root: str, source: str, include: str = "", exclude: str = "") -> DataFrame:
