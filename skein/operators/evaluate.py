@@ -48,6 +48,24 @@ def weighted_loss(rows: DataFrame, loss: Column, weight: Column, by: list[str] =
     return rows.groupBy(*by).agg((F.sum(loss * weight) / F.greatest(F.sum(weight), F.lit(1.0))).alias("loss"))
 
 
+def regularised_loss(rows: DataFrame, loss: Column, log_z: Column, weight: Column, share: float, by: list[str] = ()) -> DataFrame:
+    """Weighted mean loss plus ``share`` of the weighted mean of the squared log normaliser; both have one denominator of at least 1."""
+    total = F.greatest(F.sum(weight), F.lit(1.0))
+    return rows.groupBy(*by).agg((F.sum(loss * weight) / total + share * F.sum(weight * log_z * log_z) / total).alias("loss"))
+
+
+def loss_by_position(tokens: DataFrame, position: str, loss: Column) -> DataFrame:
+    """Mean loss of each position of a window."""
+    return tokens.groupBy(position).agg(F.avg(loss).alias("loss"), F.count("*").alias("n_tokens"))
+
+
+def loss_by_decile(tokens: DataFrame, token: str, loss: Column) -> DataFrame:
+    """Mean loss of the tokens of each frequency decile; a decile without tokens has none."""
+    counts = tokens.groupBy(token).agg(F.count("*").alias("_n"), F.sum(loss).alias("_loss"))
+    placed = frequency_deciles(counts, token, "_n")
+    return placed.groupBy("decile").agg((F.sum("_loss") / F.greatest(F.sum("_n"), F.lit(1))).alias("loss"), F.sum("_n").alias("n_tokens"))
+
+
 def grouped_mean(rows: DataFrame, by: str, batch: str, value: Column, weighting: str = "batch") -> DataFrame:
     """Mean of a value by group: of batch means, of all tokens, or of examples."""
     if weighting == "batch":

@@ -347,3 +347,50 @@ def greetings(rows: DataFrame, id_col: str = "row_id", stored: str = "messages")
     said = pair.select("id", X.strip(first["content"]).alias("asked"), X.strip(second["content"]).alias("reply"))
     kept = said.where(X.is_greeting(F.col("asked")) & (F.col("reply") != "") & (X.n_words(F.col("reply")) <= X.GREETING_REPLY_WORDS))
     return kept.select("id", F.lit("smoltalk-greetings").alias("source"), F.lit("smalltalk").alias("task"), exchange(F.col("asked"), F.col("reply")).cast(MESSAGES).alias("messages"))
+
+
+UNANSWERABLE_SHARE = 0.25
+
+
+def conversation_cache(tables: dict[str, DataFrame], seed: int = SEED) -> DataFrame:
+    """``(id, source, task, messages)`` of all sources: normalised, routed, unanswerable passages held to a quarter of what is kept.
+
+    The order in which unanswerable ones are admitted is a seeded shuffle; sources with
+    no normaliser are an error, of no tables the result is empty.
+    """
+    from skein.operators.mixing import cap_ratio
+
+    out = None
+    for source, table in sorted(tables.items()):
+        rows = conversations(source, table)
+        if "answerable" in rows.columns:
+            unanswered = F.get("messages", F.lit(1))["content"].isin(*P.NO_ANSWER_REPLIES)
+            rows = cap_ratio(rows, unanswered, "id", seed, UNANSWERABLE_SHARE).drop("answerable")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no source tables")
+    return out
+
+
+def routed_counts(cache: DataFrame) -> DataFrame:
+    """``(source, task, n)``: how many rows of each source went to each task."""
+    return cache.groupBy("source", "task").agg(F.count("*").alias("n"))
+
+
+def preference_cache(tables: dict[str, tuple[str, str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(pairs that stay, counts by source and reason) of ``{source: (schema, task, table)}``; rows a normaliser rejects count as malformed."""
+    from skein.functions.chunking import with_similar
+
+    pairs, counts = None, None
+    for source, (schema, task, table) in sorted(tables.items()):
+        rows = with_similar(preferences(schema, table, source, task), "chosen", "rejected", least=MIN_DIFFERENCE)
+        rows = rows.withColumn("reason", F.coalesce(drop_reason(F.col("chosen"), F.col("rejected"), F.col("similar")), F.lit("kept")))
+        named = (F.lit(source).alias("source"), F.lit("malformed").alias("reason"))
+        read, left = table.agg(F.count("*").alias("n")).select(*named, "n"), rows.agg((-F.count("*")).alias("n")).select(*named, "n")
+        own = rows.groupBy("source", "reason").agg(F.count("*").alias("n")).unionByName(read).unionByName(left)
+        kept = rows.where("reason = 'kept'").drop("similar", "reason")
+        pairs = kept if pairs is None else pairs.unionByName(kept)
+        counts = own if counts is None else counts.unionByName(own)
+    if pairs is None:
+        raise ValueError("no source tables")
+    return pairs, counts.groupBy("source", "reason").agg(F.sum("n").alias("n")).where("n > 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -289,7 +291,9 @@ def learning_rate(step: Column, peak: float, steps: int, warmup: int, schedule:
 
 
 def layer_schedule(layers: int, start: int, end: int, times: int) -> list[int]:
-    """Layer indices in the order run: those of [start, end) are run ``times`` times."""
+    """Layer indices in the order run: those of [start, end) are run ``times`` times; a span that cannot be is an error."""
+    if times < 1 or not 0 <= start <= end <= layers or (times > 1 and start == end):
+        raise ValueError(f"layers [{start}, {end}) of {layers} cannot run {times} times")
     return [*range(start), *[i for _ in range(times) for i in range(start, end)], *range(end, layers)]
 
 
@@ -298,4 +302,40 @@ def gated_width(width: int, multiple: int = 256) -> int:
     return -(-int(8 * width / 3) // multiple) * multiple
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of a decoder with gated layers and grouped keys."""
+
+    width: int
+    layers: int
+    heads: int
+    key_heads: int
+    vocabulary: int
+    window: int
+    executed_layers: int | None = None
+    tied: bool = True
+
+    def layer_weights(self) -> int:
+        head = self.width // self.heads
+        attention = 2 * self.width**2 + 2 * self.width * self.key_heads * head
+        return attention + 3 * self.width * gated_width(self.width) + 2 * self.width + 2 * head
+
+    def weights(self) -> int:
+        """All parameters: embedding, layers, last norm, and an output projection where it is not tied."""
+        return self.vocabulary * self.width * (1 if self.tied else 2) + self.layers * self.layer_weights() + self.width
+
+    def flops_per_token(self) -> int:
+        """Six for each weight multiplied through, of executed layers and one projection, and the attention scores."""
+        executed = self.executed_layers or self.layers
+        return 6 * (self.layer_weights() * executed + self.vocabulary * self.width) + 12 * executed * self.width * self.window
+
+    def utilisation(self, tokens_per_second: float, peak: float) -> float:
+        return self.flops_per_token() * tokens_per_second / max(1.0, peak)
+
+
+def steps_of(examples: int, epochs: float, batch: int, accumulated: int, world: int = 1, given: int = 0) -> int:
+    """Optimiser steps: those given, else what the epochs of a rank's share of the examples need; at least 1."""
+    return given if given > 0 else max(1, int(examples / max(1, world) * epochs / (batch * accumulated)))
+
+
 ids_type = T.ArrayType(T.IntegerType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skein.functions import chunking as C
@@ -17,10 +19,17 @@ def strip_sql(c: str) -> str:
     return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 
 
-@query("select doc_id, text from documents where (lang = 'en' or source in ('cosmopedia', 'python-edu')) and text is not null")
+@query("select source, text from documents where (lang = 'en' or source in ('cosmopedia', 'python-edu')) and text is not null and source is not null")
 def a3_english_scan(t):
-    """English rows, two sources passed unchecked; text only."""
-    return t("documents").where("(lang = 'en' or source in ('cosmopedia', 'python-edu')) and text is not null").select("doc_id", "text")
+    """The documents written to a folder a source and scanned: English rows, two sources passed unchecked; text only."""
+    from skein.operators.workspace import shared_folder
+    from skein.sources.corpus import parquet_documents
+
+    docs = t("documents").where("source is not null").select("source", "text", F.col("lang").alias("language"))
+    root = f"{shared_folder(docs.sparkSession)}/corpus-{uuid.uuid4().hex}"
+    for row in docs.select("source").distinct().collect():  # a folder a source
+        docs.where(F.col("source") == row["source"]).select("text", "language").write.parquet(f"{root}/{row['source']}/part.parquet")
+    return parquet_documents(docs.sparkSession, root)
 
 
 @query("""

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import pick_bits
 from skein.operators import evaluate as E
+from skein.operators import tokens as T
 from skein.plans.base import query
+from skein.plans.tokens import TURNS, _turns
 
 NLL = "-ln((('0x' || substr(md5('{seed}:' || {key}), 1, 8))::bigint % 1000 + 1) / 1001.0)"
 
@@ -109,13 +111,41 @@ def g20_log_window(t):
     return E.log_window(t("events"), "event_id", "value", 10, "user_id").select("user_id", "event_id", "window_mean")
 
 
-@query("""
-with g as (select coalesce(task, '') as task, count(*) filter (where length(messages) > 600) as dropped, count(*) as n from (select distinct row_id, task, messages from sft_train where messages is not null) group by 1)
+@query("select l_linestatus as task, sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1) + 0.001 * sum(l_quantity * l_tax * l_tax) / greatest(sum(l_quantity), 1) as loss from lineitem group by 1")
+def g17_regularised_loss(t):
+    """Weighted mean loss with a share of the squared log normaliser; taxes stand for it."""
+    return E.regularised_loss(t("lineitem").withColumnRenamed("l_linestatus", "task"), F.col("l_discount"), F.col("l_tax"), F.col("l_quantity"), 0.001, ["task"])
+
+
+@query(f"select l_linenumber as position, avg(x) as loss, count(*) as n_tokens from (select *, {nll_sql('1', "l_orderkey || ':' || l_linenumber")} as x from lineitem) group by 1")
+def g19_loss_by_position(t):
+    """Mean loss of each position; line items stand for tokens."""
+    rows = t("lineitem").select(F.col("l_linenumber").alias("position"), nll(1, F.col("l_orderkey"), F.col("l_linenumber")).alias("x"))
+    return E.loss_by_position(rows, "position", F.col("x"))
+
+
+@query(f"""
+with k as (select l_partkey as token, {nll_sql('1', "l_orderkey || ':' || l_linenumber")} as x from lineitem), c as (select token, count(*) as n, sum(x) as s from k group by 1),
+d as (select *, least(9, (row_number() over (order by n desc, token) - 1) * 10 // count(*) over ())::bigint as decile from c)
+select decile, sum(s) / greatest(sum(n), 1) as loss, sum(n)::bigint as n_tokens from d group by 1""")
+def g19_loss_by_decile(t):
+    """Mean loss by frequency decile; parts stand for tokens."""
+    rows = t("lineitem").select(F.col("l_partkey").alias("token"), nll(1, F.col("l_orderkey"), F.col("l_linenumber")).alias("x"))
+    return E.loss_by_decile(rows, "token", F.col("x"))
+
+
+@query(f"""
+with {TURNS}, k as (select row_id, 1 + sum(1 + n + (role = 'assistant')::int) as whole, max(case when i = last then 2 + n end) as reply, max(case when i = last - 1 and role = 'user' then n end) as asked
+  from (select *, max(i) over (partition by row_id) as last from z) group by row_id),
+f as (select row_id, whole <= 256 or coalesce(1 + 1 + asked + reply <= 256 or 256 - (2 + reply) >= 48, false) as fits from k),
+g as (select coalesce(d.task, '') as task, count(*) filter (where not fits) as dropped, count(*) as n from f join (select distinct row_id, task from dpo_train) d using (row_id) group by 1)
 select task, n - dropped as kept, dropped, 100.0 * dropped / greatest(1, n) as lost_percent from g where dropped > 0""")
 def g25_drop_rates(t):
-    """Rows of each task that are too long to render."""
-    rows = t("sft_train").where("messages is not null").select("row_id", F.coalesce("task", F.lit("")).alias("task"), "messages").dropDuplicates(["row_id"])
-    g = rows.groupBy("task").agg(F.count_if(F.length("messages") > 600).alias("dropped"), F.count("*").alias("n"))
+    """Conversations of each task that cannot be rendered into 256 tokens."""
+    turns = _turns(t)
+    kept = T.rendered(turns, "row_id", "turns", 256).select("row_id", F.lit(1).alias("kept"))
+    task = t("dpo_train").select("row_id", F.coalesce("task", F.lit("")).alias("task")).dropDuplicates(["row_id"])
+    g = turns.select("row_id").join(task, "row_id").join(kept, "row_id", "left").groupBy("task").agg(F.count_if(F.col("kept").isNull()).alias("dropped"), F.count("*").alias("n"))
     return g.where("dropped > 0").select("task", (F.col("n") - F.col("dropped")).alias("kept"), "dropped", (100.0 * F.col("dropped") / F.greatest(F.lit(1), F.col("n"))).alias("lost_percent"))
 
 

@@ -14,6 +14,7 @@ from skein.operators import normalise as N
 from skein.operators import pools as P
 from skein.plans.base import query
 from skein.plans.corpus import FOREIGN, WS, strip_sql
+from skein.plans.mixtures import SIMILAR
 
 # Shorthand for expressions that the engines write differently: (word, DuckDB, Spark).
 _WORDS = (
@@ -197,6 +198,25 @@ conversation(
     "Instructions and their one-line commands, destructive ones left out.", PAIRS, "row_id",
 )
 
+_SQUAD = {"question": "FIRST", "context": "context", "answers": "named_struct('text', case when answer is null or length(context) % 2 = 0 then NOTHING else ONE(PICK) end)"}
+_SQUAD_SQL, _squad = shaped(_SQUAD)
+
+
+@query(f"""
+with s as ({_SQUAD_SQL}),
+r as (select id, len(answers.text) = 0 as un, md5('{N.SEED}:' || id) as h from s where {clean('question')} <> '' and {clean('context')} <> '' and (len(answers.text) = 0 or {clean('answers.text[1]')} <> '')),
+a as (select *, sum((not un)::int) over w as A, sum(un::int) over w as t from r window w as (order by h, id)),
+m as (select *, min(case when un then floor(A / 3.0) + 1 - t end) over (order by h, id) as mm from a),
+u as (select *, case when un then t + least(0, mm) end as ut from m),
+p as (select *, coalesce(max(ut) over (order by h, id rows between unbounded preceding and 1 preceding), 0) as pu from u),
+d as (select item_id as id, case when {clean('choices[1]')} <> '' and {clean('choices[2]')} <> '' then case answer when 1 then 'writing' when 2 then 'summarization' else 'instruct' end end as task from eval_items)
+select 'squad-v2' as source, 'extractive_qa' as task, count(*) as n from p where not un or ut > pu union all select 'dolly', task, count(*) from d where task is not null group by task""")
+def g3_routed_counts(t):
+    """Rows of each source and task in a cache of two sources, unanswerable passages held to a quarter."""
+    dolly = t("eval_items").selectExpr("item_id as id", "choices[0] as instruction", "'given' as context", "choices[1] as response", "case answer when 1 then 'creative_writing' when 2 then 'summarization' else 'closed_qa' end as category")
+    return N.routed_counts(N.conversation_cache({"squad-v2": _squad(t), "dolly": dolly}))
+
+
 # ---------------------------------------------------------------- chat and dialogue
 
 _TURNS = f"""m as (select distinct row_id as id, task, source, messages from sft_train where json_valid(messages) and json_type(messages) = 'ARRAY'),
@@ -289,3 +309,14 @@ def f21_pairs(t):
     made = rows.where("chosen is not null and rejected is not null").select(F.col("row_id").alias("id"), branch("chosen").alias("chosen"), branch("rejected").alias("rejected"))
     out = N.preferences("messages_pair", made, "ultrafeedback", "helpful")
     return out.select("id", F.array_join(F.transform("prompt", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("prompt"), "chosen", "rejected")
+
+
+@query(f"""
+with a as (select id, status, rating, {clean('system')} as y, {clean('"input"')} as q, {clean('chosen')} as a, {clean('rejected')} as b from ({shaped({"system": "'Be brief.'", "input": _ASKED, "chosen": "chosen", "rejected": "rejected", "status": "'ok'", "rating": "ONE(5, 1)"}, PAIRS, "row_id")[0]})),
+p as (select * from a where q <> '' and a <> '' and b <> ''), {SIMILAR},
+r as (select case when length(a) not between 8 and 4000 or length(b) not between 8 and 4000 then 'length' when alike then 'similar' else 'kept' end as reason from m)
+select 'orca-dpo' as source, reason, count(*) as n from r group by reason union all select 'orca-dpo', 'malformed', (select count(*) from a) - (select count(*) from p) where (select count(*) from a) > (select count(*) from p)""")
+def f25_preference_cache(t):
+    """Counts by reason of a cache of one source: malformed, length, similar or kept."""
+    rows = shaped({"system": "'Be brief.'", "input": _ASKED, "chosen": "chosen", "rejected": "rejected", "status": "'ok'", "rating": "ONE(5, 1)"}, PAIRS, "row_id")[1](t)
+    return N.preference_cache({"orca-dpo": ("system_input_pair", "instruct", rows)})[1]

@@ -5,6 +5,8 @@ Bytes stand for tokens where a query needs ids, so that SQL can say the same.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
@@ -213,14 +215,6 @@ def k5_undo(t):
     return T.undo(e, "conv", "place")
 
 
-@query("""
-select doc_id, n_chars, octet_length(encode(text)) as n_tokens, case when octet_length(encode(text)) > 0 then n_chars / octet_length(encode(text)) else 0 end as chars_per_token from documents where text is not null""")
-def g26_token_report(t):
-    """Characters and byte tokens of each text."""
-    n = F.octet_length("text")
-    return t("documents").where("text is not null").select("doc_id", "n_chars", n.cast("bigint").alias("n_tokens"), F.when(n > 0, F.col("n_chars") / n).otherwise(0.0).alias("chars_per_token"))
-
-
 @query("select n, (n + 63) // 64 * 64 as padded, case when n <= 65536 then 2 else 4 end as width from (select unnest([1, 64, 50257, 65536, 65537]) as n)")
 def d37_vocab(t):
     """Padded vocabulary and stored width."""
@@ -264,3 +258,38 @@ def d27_pairs(t):
     good = rows.where("size(p) > 0 and chosen is not null and rejected is not null and forall(p, x -> x.role in ('user', 'assistant') and x.content is not null)")
     r = T.rendered_pairs(good, "row_id", "p", "chosen", "rejected", 768)
     return r.select("row_id", *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("prompt", "chosen", "rejected")])
+
+
+@query(r"""
+with a as (select doc_id, text, replace(replace(text, 'in', chr(57344)), 'an', chr(57345)) as x from documents where text is not null),
+b as (select doc_id, text, replace(replace(replace(x, chr(57344) || 'g', chr(57346)), 'on', chr(57347)), 'ou', chr(57348)) as x from a),
+c as (select *, octet_length(encode(text)) - (length(text) - length(x)) as n, length(x) - length(regexp_replace(x, '[\x{E000}-\x{E004}]', '', 'g')) as merged from b),
+p as (select *, [k for k in range(5) if contains(x, chr((57344 + k)::int))] as ranks from c)
+select doc_id, length(text) as n_chars, n as n_tokens, case when n > 0 then length(text) / n else 0 end as chars_per_token, n - merged as raw_bytes, list_max(ranks) as highest_rank from p""")
+def g26_token_report(t):
+    """Characters, tokens, bytes that no merge took and the highest merge rank of each text, by a table of merges."""
+    from skein.functions.merges import encoder
+
+    r = stage(t("documents").where("text is not null"), ids=encoder(MERGES)(F.col("text"))).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "ids")
+    n = F.size("ids").cast("bigint")
+    rank = F.array_max(F.filter("ids", lambda i: i >= T.FIRST_MERGE)) - T.FIRST_MERGE
+    return r.select("doc_id", "n_chars", n.alias("n_tokens"), F.when(n > 0, F.col("n_chars") / n).otherwise(0.0).alias("chars_per_token"), F.size(F.filter("ids", lambda i: i < 256)).cast("bigint").alias("raw_bytes"), rank.cast("bigint").alias("highest_rank"))
+
+
+@query("""
+with d as (select doc_id, list_transform(range(0, octet_length(encode(text))), lambda k: ('0x' || substr(hex(encode(text)), (2 * k + 1)::int, 2))::int) as b from documents where text is not null),
+s as (select flatten(list(b order by doc_id)) as stream from d), n as (select (len(stream) // 100000)::bigint as full_shards, len(stream) as total, stream from s),
+w as (select unnest(range(0, full_shards)) as shard, stream from n)
+select shard * (100000 - 65) as window_id, stream[shard * 100000 + 1 : shard * 100000 + 65] as tokens from w""")
+def h12_gathered_windows(t):
+    """The first window of each full shard: documents are written to shards of bytes, indexed, located and read back."""
+    from skein.operators.workspace import shared_folder
+    from skein.sources import shards as S
+
+    docs = t("documents").where("text is not null").select("doc_id", T.byte_ids(F.col("text")).alias("ids"))
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    index = S.write_shards(docs, ["doc_id"], "ids", folder, 256, 100_000)
+    placed = T.windows(S.shard_table(spark, index), 64)
+    firsts = placed.where("n_tokens = 100000").select(F.col("first_window").alias("window_id"))
+    return S.gather(index, T.locate(firsts, placed), 64)

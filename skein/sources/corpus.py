@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.sources.files import children
 from skein.functions.chunking import MAX_CHUNK, MIN_CHUNK, PACK_MOST, PACK_SIZE, corpus_chunks, packed_sentences
 
 TEXT_COLUMNS = ("text", "content")
@@ -30,15 +31,10 @@ def source_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
-def _folders(root: str) -> list[str]:
-    if not os.path.isdir(root):
-        return []
-    return sorted(d for d in os.listdir(root) if os.path.isdir(os.path.join(root, d)))
-
-
-def list_parquet(root: str) -> list[str]:
-    """Parquet files exactly one folder below the root, in order."""
-    return [os.path.join(root, d, f) for d in _folders(root) for f in sorted(os.listdir(os.path.join(root, d))) if f.endswith(".parquet")]
+def list_parquet(spark: SparkSession, root: str) -> list[str]:
+    """Parquet files or tables exactly one folder below the root, in order."""
+    folders = [name for name, is_folder in children(spark, root) if is_folder]
+    return [f"{root}/{folder}/{name}" for folder in folders for name, _ in children(spark, f"{root}/{folder}") if name.endswith(".parquet")]
 
 
 def parquet_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -47,10 +43,10 @@ def parquet_documents(spark: SparkSession, root: str) -> DataFrame:
     Files of a folder share a schema; only the text and language columns are read.
     """
     out = None
-    for folder in _folders(root):
-        files = [p for p in list_parquet(root) if os.path.basename(os.path.dirname(p)) == folder]
-        if not files:
-            continue
+    by: dict[str, list[str]] = {}
+    for path in list_parquet(spark, root):
+        by.setdefault(path.split("/")[-2], []).append(path)
+    for folder, files in by.items():
         df = spark.read.parquet(*files)
         column = next((c for c in TEXT_COLUMNS if c in df.columns), None)
         if column is None:
@@ -77,7 +73,8 @@ def encyclopedia_chunks(spark: SparkSession, path: str, size: int = PACK_SIZE, m
     The packing runs on in file order, so a file is one task, which reads it line by line;
     give a folder of files to spread them.
     """
-    if not os.path.exists(path):
+    above, _, name = path.rpartition("/")
+    if name not in dict(children(spark, above or ".")):
         return spark.createDataFrame([], ENCYCLOPEDIA)
 
     def spans(lines: Iterator[str]):
@@ -108,7 +105,7 @@ def encyclopedia_chunks(spark: SparkSession, path: str, size: int = PACK_SIZE, m
 
 def book_pages(spark: SparkSession, root: str, source: str, include: str = "", exclude: str = "") -> DataFrame:
     """``(source, doc, page_no, text)`` of text books at any depth, cut at form feeds; paths must match, and not match."""
-    if not os.path.isdir(root):
+    if not children(spark, root):
         return spark.createDataFrame([], "source string, doc string, page_no int, text string")
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     path = F.col("_metadata.file_path")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from skein.operators.tokens import storage_bytes
 
 # Fixed values of the file format.
-MAGIC, VERSION, HEADER = 0x6E4C4C4D, 1, 1024
+MAGIC, VERSION, HEADER = 0x534B4E31, 1, 1024
 INDEX = "index.json"
 
 
@@ -28,14 +28,14 @@ def _header(width: int, n: int) -> bytes:
     return struct.pack("<IIIQ", MAGIC, VERSION, width, n).ljust(HEADER, b"\0")
 
 
-def read_shard(path: str) -> np.ndarray:
-    """The tokens of a shard; a damaged, foreign or empty one is an error."""
+def read_shard(path: str, known: int = MAGIC) -> np.ndarray:
+    """The tokens of a shard; a damaged, foreign or empty one is an error.  Shards of another writer are read by its ``known`` magic number."""
     size = os.path.getsize(path)
     if size < HEADER:
         raise ValueError(f"{path}: too short for a header")
     with open(path, "rb") as f:
         magic, version, width, n = struct.unpack("<IIIQ", f.read(20))
-    if magic != MAGIC or version != VERSION or width not in (2, 4):
+    if magic != known or version != VERSION or width not in (2, 4):
         raise ValueError(f"{path}: not a token shard")
     if n == 0 or size < HEADER + n * width:
         raise ValueError(f"{path}: incomplete")

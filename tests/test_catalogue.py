@@ -1,4 +1,4 @@
-"""Every query with SQL agrees with DuckDB on the smallest tables; the others give rows of a stable schema."""
+"""Every query agrees with its SQL in DuckDB on the smallest tables."""
 
 import glob
 import math
@@ -39,8 +39,7 @@ def test_query(name, spark, duck):
     df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     ours = sorted(([plain(r[c]) for c in cols] for r in df.collect()), key=str)
-    if name not in ORACLES:
-        return
+    assert name in ORACLES, "a core query without SQL"
     result = duck.execute(ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == cols

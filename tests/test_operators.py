@@ -191,3 +191,27 @@ def test_preferences(spark):
     assert [(r.id, r.prompt[0].content) for r in got] == [(1, "s\n\nq")]
     got = N.preferences("shp", spark.createDataFrame([(1, "h", "a", "b", 0), (2, "h", "a", "b", None)], "id int, history string, human_ref_A string, human_ref_B string, labels int"), "o", "i").collect()
     assert [(r.chosen, r.rejected) for r in got] == [("b", "a")]
+
+
+def test_shapes_and_steps():
+    small = T.Shape(width=64, layers=2, heads=4, key_heads=2, vocabulary=100, window=16)
+    layer = 2 * 64 * 64 + 2 * 64 * 2 * 16 + 3 * 64 * 256 + 2 * 64 + 2 * 16
+    assert small.weights() == 6400 + 2 * layer + 64 and T.Shape(64, 2, 4, 2, 100, 16, tied=False).weights() == small.weights() + 6400
+    looped = T.Shape(64, 2, 4, 2, 100, 16, executed_layers=3)
+    assert looped.flops_per_token() == 6 * (3 * layer + 6400) + 12 * 3 * 64 * 16 and looped.utilisation(1.0, 0.0) == looped.flops_per_token()
+    assert T.steps_of(1000, 2, 8, 4) == 62 and T.steps_of(1, 1, 8, 4) == 1 and T.steps_of(1000, 2, 8, 4, given=7) == 7 and T.steps_of(1000, 2, 8, 4, world=2) == 31
+    with pytest.raises(ValueError):
+        T.layer_schedule(4, 2, 2, 3)
+
+
+def test_caches(spark):
+    squad = spark.createDataFrame([(i, f"What {i}?", "A passage.", {"text": [] if i % 2 else ["one"]}) for i in range(60)], "id int, question string, context string, answers struct<text:array<string>>")
+    cache = N.conversation_cache({"squad-v2": squad})
+    unanswered = cache.where(F.col("messages")[1]["content"] != "one").count()
+    assert cache.count() == 30 + unanswered and unanswered <= (30 + unanswered) // 4 + 1
+    pair = [(1, "Why is that?", "Because of the rain.", "No reason at all, sir.", None), (2, "", "Because.", "No.", None), (3, "Why?", "short", "No reason at all, sir.", None), (4, "Why?", "the same reply here", "the same reply here", None), (5, "Why?", "the same reply here", "no such reply here", "tie")]
+    rows = spark.createDataFrame(pair, "id int, question string, chosen string, rejected string, status string")
+    kept, counts = N.preference_cache({"orca-dpo": ("system_input_pair", "instruct", rows)})
+    assert [r.id for r in kept.collect()] == [1] and {r.reason: r.n for r in counts.collect()} == {"kept": 1, "malformed": 2, "length": 1, "similar": 1}
+    with pytest.raises(ValueError):
+        N.conversation_cache({})

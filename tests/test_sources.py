@@ -120,3 +120,30 @@ def test_streaming(spark, tmp_path):
 def test_core_stands_alone():
     code = "import sys; sys.modules['skein.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k[0] == 'p' and k[1].isdigit() for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
+def test_catalogues():
+    from skein.sources import catalogs as C
+
+    assert abs(sum(s.weight for s in C.CORPORA) - 1) < 1e-9 and len(C.CHATS) == 20 and len(C.PAIRS) == 5
+    assert "soda" not in [s.key for s in C.select(C.CHATS)] and len(C.select(C.CHATS, everything=True)) == 20
+    assert [s.key for s in C.select(C.PAIRS, only=["shp"])] == ["shp"] and [s.key for s in C.select(C.PAIRS, tasks=["helpful"])] == ["ultrafeedback"]
+    with pytest.raises(KeyError):
+        C.select(C.PAIRS, only=["nothing"])
+
+
+def test_encyclopedia(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    lines = ["A first sentence. A second one.", "", "And a third, which is longer than the others. End"]
+    with gzip.open(tmp_path / "w.txt.gz", "wt", encoding="utf-8") as f:
+        f.write("\n".join(lines))
+    with zipfile.ZipFile(tmp_path / "w.zip", "w") as z:
+        z.writestr("wikipedia.txt", "\n".join(lines))
+    (tmp_path / "w.txt").write_text("\n".join(lines))
+    want = ["A first sentence A second one", "And a third, which is longer than the others", "End"]
+    for name in ("w.txt.gz", "w.zip", "w.txt"):
+        out = [r.chunk for r in S.encyclopedia_chunks(spark, str(tmp_path / name), 30, 60).collect()]
+        assert out == want, out
+    assert S.encyclopedia_chunks(spark, str(tmp_path / "none.zip")).count() == 0
