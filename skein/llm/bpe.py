@@ -11,7 +11,6 @@ like special tokens are plain text; any other column is ignored.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from pathlib import Path
@@ -19,8 +18,11 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from skein.functions.merges import merged
+
 TOKENIZER_DIR = "/opt/tokenizers"
 MEMO_ENTRIES = 400_000  # bound on the per-process memo of pre-tokens
 
@@ -64,33 +66,8 @@ class ByteBPE:
         self.memo: dict[str, list[int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one pre-token, in O(n log n) of its bytes."""
-        ids = [self.of_byte[b] for b in data]
-        n = len(ids)
-        if n < 2:
-            return ids
-        merges = self.merges
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        for i in range(n - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
-        heapq.heapify(queue)
-        while queue:
-            _, i, left, right, merged = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] != left or j >= n or ids[j] != right:
-                continue  # stale: one side has been merged since
-            ids[i], ids[j] = merged, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if found := merges.get((merged, ids[k])):
-                    heapq.heappush(queue, (found[0], i, merged, ids[k], found[1]))
-            h = before[i]
-            if h >= 0 and (found := merges.get((ids[h], merged))):
-                heapq.heappush(queue, (found[0], h, ids[h], merged, found[1]))
-        return [x for x in ids if x >= 0]
+        """Ids of one pre-token: a queue of merge ranks over a doubly linked list of symbols."""
+        return merged([self.of_byte[b] for b in data], self.merges)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -115,17 +92,25 @@ _loaded: dict[tuple[str, str], ByteBPE] = {}
 
 
 def load(name: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR) -> ByteBPE:
-    """One encoder per worker process."""
+    """One encoder per worker process, from the directory or else from the file that was shipped to the worker."""
     if (name, directory) not in _loaded:
-        _loaded[name, directory] = ByteBPE(name, directory)
+        here = directory if Path(directory, f"{name}.json").exists() else SparkFiles.getRootDirectory()
+        _loaded[name, directory] = ByteBPE(name, here)
     return _loaded[name, directory]
 
 
+def shipped(df: DataFrame, name: str, directory: str) -> None:
+    """Sends the vocabulary file to the executors, which need not have the directory."""
+    df.sparkSession.sparkContext.addFile(str(Path(directory, f"{name}.json").resolve()))
+
+
 def encode_table(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR
 ) -> DataFrame:
     """``(id, ids ARRAY<INT>)`` of each row; one narrow Arrow stage, no shuffle."""
 
+    shipped(docs, name, directory)
+
     def run(batches):
         bpe = load(name, directory)
         for batch in batches:
@@ -145,6 +130,8 @@ def encode_table(
 def decode_table(encoded: DataFrame, id_col: str = "doc_id", name: str = "byte_bpe_50k", directory: str = TOKENIZER_DIR) -> DataFrame:
     """``(id, text)``: the vocabulary strings of the ids, joined."""
 
+    shipped(encoded, name, directory)
+
     def run(batches):
         bpe = load(name, directory)
         for batch in batches:
