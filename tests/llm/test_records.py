@@ -270,6 +270,18 @@ def test_vectors_tell_contexts_apart():
     assert fits[0] > fits[1] and len(model.fit(["red"], [])) == 1 and misreadings.train([])[0].size == 0
 
 
+def test_signs_within_words_are_corrected(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdgkmp") + rng.choice("aeou") for _ in range(4))
+    lines = [f"{word()} the grey cloud hung over the valley near {word()} {word()}" for _ in range(60)]
+    lines[25] = f"{word()} the grey c1oud hung over the vaIIey near {word()}"
+    lines[35] = f"{word()} played the sma|l mp3 player by the c1oud {word()}"
+    s = scans.Scans(spark, spark.createDataFrame([(k, "b", k, "\n".join(lines[10 * k : 10 * k + 10])) for k in range(6)], "page_id bigint, doc string, page_no int, text string"))
+    assert {(r.page_id, r.line_no) for r in s.lines().where("kind = 'misread'").collect()} == {(2, 6), (3, 6)}
+    text = " ".join(r.text for r in s.paragraphs().collect())
+    assert "c1oud" not in text and "vaIIey" not in text and "small mp3 player" in text, text
+
+
 def test_long_lines_with_one_beginning_are_no_header(spark):
     opening = "the long account of the voyage that the surveyors of the northern province made "
     pages = [(k, "b", k, "\n".join([opening + w, *[f"line {w} {j}" for j in range(8)]])) for k, w in enumerate(("around the western cape", "under heavy sails in winter", "past nine quiet harbours"))]
