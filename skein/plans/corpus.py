@@ -24,11 +24,11 @@ def a3_english_scan(t):
     """The documents written to a folder a source and scanned: English rows, two sources passed unchecked; text only."""
     from skein.operators.workspace import shared_folder
     from skein.sources.corpus import parquet_documents
+    from skein.sources.sinks import write_corpus
 
-    docs = t("documents").where("source is not null").select("source", "text", F.col("lang").alias("language"))
+    docs = t("documents").select("source", "text", F.col("lang").alias("language"))
     root = f"{shared_folder(docs.sparkSession)}/corpus-{uuid.uuid4().hex}"
-    for row in docs.select("source").distinct().collect():  # a folder a source
-        docs.where(F.col("source") == row["source"]).select("text", "language").write.parquet(f"{root}/{row['source']}/part.parquet")
+    write_corpus(docs, root)
     return parquet_documents(docs.sparkSession, root)
 
 

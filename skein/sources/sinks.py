@@ -8,12 +8,18 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.files import children, rename
+
 ROWS_PER_FILE = 20_000
 
 
 def write_corpus(df: DataFrame, folder: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Rows by source, at most so many a file."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("source").parquet(folder)
+    """A folder for each source, named as it is, in one pass; at most so many rows a file.  Rows without a source are left out."""
+    spark = df.sparkSession
+    df.where("source is not null").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("source").parquet(folder)
+    for name, is_folder in children(spark, folder):
+        if is_folder and name.startswith("source="):
+            rename(spark, f"{folder}/{name}", f"{folder}/{name[7:]}")
 
 
 def write_cache(train: DataFrame, val: DataFrame, folder: str, turns: tuple[str, ...] = ("messages",), force: bool = False) -> bool:

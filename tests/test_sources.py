@@ -92,7 +92,8 @@ def test_shards(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", "x"), ("b", "y")], "source string, text string")
     K.write_corpus(df, str(tmp_path / "c"), 1)
-    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+    assert {p.name for p in (tmp_path / "c").iterdir() if p.is_dir()} == {r.source for r in df.collect()}  # a folder a source
+    assert S.parquet_documents(spark, str(tmp_path / "c")).count() == 2
     chat = spark.createDataFrame([(1, [("user", "hi")])], "id int, messages array<struct<role:string,content:string>>")
     assert K.write_cache(chat, chat, str(tmp_path / "k")) and not K.write_cache(chat, chat, str(tmp_path / "k")) and K.write_cache(chat, chat, str(tmp_path / "k"), force=True)
     assert json.loads(spark.read.parquet(str(tmp_path / "k" / "train.parquet")).first().messages) == [{"role": "user", "content": "hi"}]
