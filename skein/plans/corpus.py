@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import chunking as C
 from skein.functions import text as X
+from skein.functions.merges import pretokens
 from skein.plans.base import query
 
 # DuckDB's \s is ASCII only; Python's and Spark's (?U) white space is spelt out.
@@ -197,23 +198,27 @@ def d36_training_sentences(t):
     return t("documents").where("text is not null").select("doc_id", F.posexplode(X.training_sentences(F.col("text"))).alias("no", "sentence"))
 
 
-@query(r"""
-select g as word, count(*) as n from (select unnest(regexp_extract_all(text, '( ?\p{L}+| ?\p{N}+)', 1)) as g from documents where text is not null) group by g""")
+# DuckDB's patterns cannot look ahead: a text is parted before the last of several white spaces, where it joins the next word.
+_WS = WS[1:-1]
+PRETOKENS = rf"""
+p as (select unnest(string_split(regexp_replace(text, '([{_WS}]+)([{_WS}])([^{_WS}])', '\1' || chr(57344) || '\2\3', 'g'), chr(57344))) as piece from documents where text is not null),
+w as (select word, count(*) as n from (select unnest(regexp_extract_all(piece, '(''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+)', 1)) as word from p) group by word)"""
+
+
+@query(f"with {PRETOKENS} select word, n from w")
 def g7_word_counts(t):
-    """Frequencies of letter and number pre-tokens."""
-    words = t("documents").where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(r"( ?\p{L}+| ?\p{N}+)"), F.lit(1))).alias("word"))
+    """Frequencies of all pre-tokens: words, numbers, signs, contractions and white space."""
+    words = t("documents").where("text is not null").select(F.explode(pretokens(F.col("text"))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query(r"""
-with w as (select g as word, count(*) as n from (select unnest(regexp_extract_all(text, '( ?[a-z]+)', 1)) as g from documents where text is not null) group by g),
-p as (select substr(word, i::int, 2) as pair, n from w, unnest(range(1, length(word))) as r(i))
-select pair, sum(n)::bigint as n from p group by pair""")
+@query(f"""
+with {PRETOKENS}, h as (select hex(encode(word)) as x, n from w)
+select pair, sum(n)::bigint as n from (select substr(x, (2 * i - 1)::int, 4) as pair, n from h, unnest(range(1, (length(x) // 2)::bigint)) as r(i)) group by pair""")
 def g8_pair_counts(t):
-    """Adjacent pairs within words, weighted by the words' frequencies; words are counted before they are cut."""
-    words = t("documents").where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(r"( ?[a-z]+)"), F.lit(1))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") >= 2)
-    pairs = counts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.col("word").substr(i, F.lit(2)))).alias("pair"), "n")
+    """Adjacent bytes within pre-tokens, weighted by their frequencies; pre-tokens are counted before they are cut."""
+    counts = g7_word_counts(t).select(F.hex(F.encode("word", "UTF-8")).alias("x"), "n").where(F.length("x") >= 4)
+    pairs = counts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("x") - 3, F.lit(2)), lambda i: F.col("x").substr(i, F.lit(4)))).alias("pair"), "n")
     return pairs.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
