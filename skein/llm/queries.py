@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +67,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return language.found(docs, language.fit(docs), quality.fit(docs))
+    with ThreadPoolExecutor(1) as other:  # the profiles' job runs while the network is trained on the driver
+        profiles = other.submit(quality.fit, docs)
+        return language.found(docs, language.fit(docs), profiles.result())
 
 
 def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
