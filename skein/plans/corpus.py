@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from skein.functions import chunking as C
+from skein.functions import geometry as G
 from skein.functions import text as X
 from skein.functions.merges import pretokens
 from skein.plans.base import query
@@ -295,10 +296,21 @@ def k1_event_windows(t):
     return t("events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query("select vec_id, label, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm from embeddings")
+@query("select vec_id, label, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) / len(embedding)) as rms from embeddings")
 def g21_norms(t):
-    """Norm of each embedding."""
-    return t("embeddings").select("vec_id", "label", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm"))
+    """Norm and root mean square of each embedding."""
+    total = G.squares(F.col("embedding"))
+    return t("embeddings").select("vec_id", "label", F.sqrt(total).alias("norm"), F.sqrt(total / F.size("embedding")).alias("rms"))
+
+
+@query("""
+with e as (select vec_id, label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings),
+c as (select label, i, avg(x) as m from e group by all),
+d as (select vec_id, label, sum(x * m) as dot, sqrt(sum(x * x)) as a, sqrt(sum(m * m)) as b from e join c using (label, i) group by all)
+select label, avg(dot / (a * b)) as mean_cosine, count(*) as n from d group by label""")
+def g22_cosine_to_centre(t):
+    """Mean cosine of the embeddings of a label to their mean vector."""
+    return G.cosine_to_centre(t("embeddings"), "label", "embedding")
 
 
 @query("""
@@ -306,7 +318,7 @@ with n as (select label, sqrt(list_sum(list_transform(embedding, lambda x: x::do
 select label, count(*) as n, quantile_cont(norm, 0.25) as lower_quartile, quantile_cont(norm, 0.5) as median, quantile_cont(norm, 0.75) as upper_quartile from n group by label""")
 def g22_geometry(t):
     """Quartiles of the norms of each label."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    norm = F.sqrt(G.squares(F.col("embedding")))
     q = lambda p: F.percentile("norm", F.lit(p))
     return t("embeddings").select("label", norm.alias("norm")).groupBy("label").agg(F.count("*").alias("n"), q(0.25).alias("lower_quartile"), q(0.5).alias("median"), q(0.75).alias("upper_quartile"))
 
