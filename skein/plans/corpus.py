@@ -247,12 +247,25 @@ def g5_sources(t):
     return t("sft_train").groupBy("task").agg(F.count_distinct("source").alias("n_sources"), F.count_distinct(F.concat(F.lower(F.trim("task")), F.lit(":"), F.col("source"))).alias("n_pairs"))
 
 
-@query("select 'documents' as name, (select count(*) from documents) as n_rows union all select 'orders', (select count(*) from orders) union all select 'sft_train', (select count(*) from sft_train)")
+# Columns of the tables as their description gives them.
+DESCRIBED = {
+    "sft_train": "row_id source task messages origin_file collected_at loaded_at",
+    "dpo_train": "row_id source task prompt chosen rejected origin_file collected_at loaded_at",
+    "textbook_pages": "page_id doc source page_no text scanned_at",
+    "documents": "doc_id text lang source n_chars site collected_at",
+    "eval_items": "item_id context choices answer task",
+    "mix_targets": "stage task weight max_repeats",
+    "pack_specs": "spec unit capacity",
+}
+
+
+@query(" union all ".join(f"select '{name}' as name, (select count(*) from {name}) as n_rows, '{columns.replace(' ', ', ')}' as columns" for name, columns in DESCRIBED.items()))
 def g2_describe(t):
-    """Row counts from the files' footers."""
+    """Row counts and column names from the files' footers."""
     out = None
-    for name in ("documents", "orders", "sft_train"):
-        one = t(name).agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"))
+    for name in DESCRIBED:
+        table = t(name)
+        one = table.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.lit(", ".join(table.columns)).alias("columns"))
         out = one if out is None else out.unionByName(one)
     return out
 
