@@ -89,6 +89,31 @@ def test_pairs_table(spark, model):
     assert pairs.found(sft.where("row_id < 0"), dpo.where("row_id < 0"), pairs.fit(sft.where("row_id < 0"), dpo)).count() == 0
 
 
+def test_boundaries_count_all_replies(spark):
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    odd = ["", "?", "\n1. a\n2.", "However, it was so, and the x", "« Ha »", "a,b,c d_e 3.5 (f", "So. Then it", "\n\n", "The, of, and 12"]
+    texts = odd + [f"The {word(k % 7)} of {word(k)}, which was {k}. {'It ' * (k % 3)}lifted the {word(k % 5)}s" + "." * (k % 2) for k in range(300)]
+    model, tally = pairs.Boundaries(), pairs.Tally(np.full(1 << 13, 255, np.uint8))
+    for text in texts:
+        model.add(text)
+    for lo in range(0, len(texts), 50):
+        tally.add(texts[lo : lo + 50])
+    keys, seen, ends = tally.gathered()
+    assert tally.words == model.vocabulary
+    assert sorted(zip(seen.tolist(), ends.tolist())) == sorted((n, model.ends[k]) for k, n in model.seen.items())
+    counted = dict(zip(keys.view(np.int64).tolist(), zip(seen.tolist(), ends.tolist())))
+    for text in filter(pairs.classes, texts):
+        tags = pairs.classes(text)
+        assert [counted.get(k, (0, 0)) for k in pairs.context_keys(tags)] == [(model.seen[k], model.ends[k]) for k in pairs._last_contexts(tags)], text
+
+    # 41 replies of 48,000 say that a reply is cut: too few in 12,000 of them
+    usual, telling, cut = (stored(("user", "Say it."), ("assistant", x)) for x in ("Fine.", "The copper river lifts seven stones.", "The copper river lifts seven"))
+    text = F.when(F.col("id") == 1, cut).when(F.col("id") % 1200 == 0, telling).when(F.col("id") == 7, telling).otherwise(usual)
+    sft = spark.range(48_000).select(F.col("id").alias("row_id"), text.alias("messages"))
+    dpo = spark.createDataFrame([], "row_id bigint, prompt string, chosen string, rejected string")
+    assert [tuple(r) for r in pairs.found(sft, dpo, pairs.fit(sft, dpo)).collect()] == [(1, "messages", "truncated")]
+
+
 def test_lcs():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
