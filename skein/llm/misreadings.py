@@ -14,7 +14,9 @@ counts matters, so that a larger corpus is judged as a small one.
 
 Fit: skip-gram with negative sampling.  The vectors of a word are rows of a table of
 ROWS rows, found by two hashes, so that every word has one whatever the vocabulary.
-The table is learnt on PARTS parts of a sample of at most PAGES pages and averaged.
+The pages are dealt to PARTS parts or more (PAGES pages of each at most on average), the
+neighbours of each part are counted, a table is learnt on the counts of each part, and
+the tables are averaged.  A pair met often is learnt in pieces of some of its count.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 LEAST = 5  # times that a correction is seen
 RATE, EXTRA, SECOND, TRUE, FLOOR = 0.01, 1.5, 0.05, 0.03, -12.0
 WEIGHT, CLIP, SHRINK = 0.35, 8.0, 20  # of the fit of a context against the prior; bound on the fit of one word; count of which it has half
-PAGES, PARTS, EPOCHS = 4000, 8, 2
+PAGES, PARTS, EPOCHS = 50_000, 8, 2  # pages of a part, least parts, passes over the pairs of a part
+PIECES = 1 << 18  # about as many steps are made for the pairs met often
 ROWS, SIZE, REACH, NEGATIVES, POOL = 1 << 15, 32, 2, 3.0, 256
 BATCH, PACE, FREQUENT_SHARE = 2048, 0.15, 1e-3
 MEMO = 1 << 17  # words whose vectors a worker keeps
@@ -143,17 +146,41 @@ def _start() -> np.ndarray:
     return np.random.default_rng(17).normal(0, 0.3 / SIZE**0.5, (ROWS, SIZE)).astype(np.float32)
 
 
+def pairs_of(pages: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, times met) of words, by their codes, at most REACH apart on a page."""
+    ids = np.array([w for page in pages for w in [*page, *[-1] * REACH]], np.int64)
+    met = []
+    for shift in range(1, REACH + 1):
+        a, b = ids[:-shift], ids[shift:]
+        ok = (a >= 0) & (b >= 0)
+        a, b = a[ok], b[ok]
+        met.append(np.minimum(a, b) << 2 * _BITS | np.maximum(a, b))
+    return np.unique(np.concatenate(met), return_counts=True)
+
+
+_BITS = ROWS.bit_length() - 1
+
+
+def code_of(word: str) -> int:
+    """Both rows of a word as one number."""
+    a, b = rows_of([word])[0].tolist()
+    return a << _BITS | b
+
+
 def train(pages: list[list[str]], seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rows, word vectors, context vectors, words seen) of skip-gram with negative sampling on the pages."""
+    return train_pairs(*pairs_of([[code_of(w) for w in page] for page in pages]), seed)
+
+
+def train_pairs(pairs: np.ndarray, times: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same on pairs of neighbours and the times that each was met."""
     rng = np.random.default_rng(seed)
-    index: dict[str, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for page in pages for w in [*page, *[""] * REACH]], np.int64)
-    if not len(ids):
+    if not len(pairs):
         return np.zeros(0, np.int64), np.zeros((0, SIZE), np.float32), np.zeros((0, SIZE), np.float32), np.zeros(0, np.int64)
-    table = rows_of(list(index))
-    gap = index.get("", -1)
-    counts = np.bincount(ids, minlength=len(index)).astype(np.float64)
-    counts[gap] = 0
+    codes, ids = np.unique(np.concatenate([pairs >> 2 * _BITS, pairs & (1 << 2 * _BITS) - 1]), return_inverse=True)
+    table = np.stack([codes >> _BITS, codes & ROWS - 1], axis=1)
+    left, right, n = ids, np.concatenate([ids[len(pairs) :], ids[: len(pairs)]]), np.tile(times, 2)
+    counts = np.bincount(left, weights=n, minlength=len(codes))
     noise = counts**0.75
     noise /= noise.sum()
     steps = np.minimum(np.cumsum(noise), 1 - 1e-12)
@@ -162,36 +189,42 @@ def train(pages: list[list[str]], seed: int = 1) -> tuple[np.ndarray, np.ndarray
     share = counts / counts.sum()
     keep = np.minimum(1.0, np.sqrt(FREQUENT_SHARE / np.maximum(share, 1e-12)) + FREQUENT_SHARE / np.maximum(share, 1e-12))
     pace_v, pace_u = np.full(ROWS, 1e-4, np.float32), np.full(ROWS, 1e-4, np.float32)
+    piece = max(1, int(n.sum()) // PIECES)
+    parts = -(-n // piece)
+    cells = np.repeat(np.arange(len(n)), parts)
+    weights = (n / parts * keep[left])[cells]
     for _ in range(EPOCHS):
-        for shift in [k for k in range(-REACH, REACH + 1) if k]:
-            here = np.arange(max(0, -shift), len(ids) - max(0, shift))
-            a, b = ids[here], ids[here + shift]
-            ok = (a != gap) & (b != gap) & (rng.random(len(a)) < keep[a])
-            a, b = a[ok], b[ok]
-            order = rng.permutation(len(a))
-            for at in range(0, len(order), BATCH):
-                pick = order[at : at + BATCH]
-                pool = table[np.searchsorted(steps, rng.random(POOL))]
-                ra, rb = table[a[pick]], table[b[pick]]
-                x, y, z = v[ra].sum(axis=1), u[rb].sum(axis=1), u[pool].sum(axis=1)
-                good = 1 / (1 + np.exp(-np.clip((x * y).sum(axis=1), -12, 12)))
-                bad = 1 / (1 + np.exp(-np.clip(x @ z.T, -12, 12))) * np.float32(NEGATIVES / POOL)
-                dx = (1 - good)[:, None] * y - bad @ z
-                dy = np.concatenate([(1 - good)[:, None] * x, -(bad.T @ x)])
-                _move(v, pace_v, ra, dx)
-                _move(u, pace_u, np.concatenate([rb, pool]), dy)
-    seen = np.unique(table[np.arange(len(index)) != gap])
-    times = np.bincount(table.ravel(), weights=np.repeat(counts, 2), minlength=ROWS)[seen].astype(np.int64)
-    return seen, v[seen], u[seen], times
+        # a piece that counts less than once is met as often as that
+        order = rng.permutation(np.flatnonzero(rng.random(len(cells)) < weights))
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
+            weight = np.maximum(weights[pick], 1).astype(np.float32)[:, None]
+            cell = cells[pick]
+            pool = table[np.searchsorted(steps, rng.random(POOL))]
+            ra, rb = table[left[cell]], table[right[cell]]
+            x, y, z = (np.take(m, r[:, 0], axis=0) + np.take(m, r[:, 1], axis=0) for m, r in ((v, ra), (u, rb), (u, pool)))
+            good = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", x, y), -12, 12)))
+            bad = x @ z.T
+            np.clip(bad, -12, 12, out=bad)
+            np.negative(bad, out=bad)
+            np.exp(bad, out=bad)
+            bad += 1
+            np.divide(weight * np.float32(NEGATIVES / POOL), bad, out=bad)
+            pull = (1 - good)[:, None] * weight
+            _move(v, pace_v, ra, pull * y - bad @ z)
+            _move(u, pace_u, np.concatenate([rb, pool]), np.concatenate([pull * x, -(bad.T @ x)]))
+    seen = np.unique(table)
+    met = np.bincount(table.ravel(), weights=np.repeat(counts, 2), minlength=ROWS)[seen].astype(np.int64)
+    return seen, v[seen], u[seen], met
 
 
 def _move(target: np.ndarray, pace: np.ndarray, rows: np.ndarray, delta: np.ndarray) -> None:
     """One step of every row met in a batch along the sum of its deltas, smaller the more the row has moved (AdaGrad by rows)."""
     flat = rows.ravel(order="F")
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.uint16), kind="stable")  # ROWS fit
     r = flat[order]
     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    sums = np.add.reduceat(delta[order % len(delta)], first, axis=0)
+    sums = np.add.reduceat(np.take(delta, order % len(delta), axis=0), first, axis=0)
     own = r[first]
     pace[own] += (sums**2).mean(axis=1)
     target[own] += sums * (PACE / np.sqrt(pace[own]))[:, None]
@@ -227,35 +260,75 @@ class Model:
 
 
 def learn(pages: DataFrame, tokens) -> Model:
-    """The averaged table of PARTS parts of the sampled pages; ``tokens(text, drop)`` gives the words of a page.
+    """The averaged table of the parts of all pages; ``tokens(text, drop)`` gives the words of a page.
 
-    ``pages`` is ``(page_id, text, drop)``; the sample is the pages with the least hash,
-    PAGES of them at most on average.
+    ``pages`` is ``(page_id, text, drop)``; a page belongs to a part by its hash.
     """
-    total = pages.count()
-    share = min(1.0, PAGES / max(1, total))
-    some = pages.where(F.pmod(F.xxhash64(F.lit(9), "page_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    fields = "row int, v array<float>, u array<float>, n bigint"
-
-    def run(batches):
-        read = [tokens(t, d) for b in batches for t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        rows, v, u, n = train(read)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(v.tolist(), pa.list_(pa.float32())), pa.array(u.tolist(), pa.list_(pa.float32())), pa.array(n, pa.int64())], names=["row", "v", "u", "n"])
+    parts = max(PARTS, -(-pages.count() // PAGES))
+    dealt = pages.select(F.pmod(F.xxhash64(F.lit(9), "page_id"), F.lit(parts)).cast("int").alias("part"), "text", "drop")
+
+    def count(batches):
+        memo: dict[str, int] = {}
+        met: dict[int, list] = {}
+
+        def gathered():
+            for part, own in met.items():
+                pairs, back = np.unique(np.concatenate([p for p, _ in own]), return_inverse=True)
+                n = np.bincount(back, weights=np.concatenate([k for _, k in own])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), part), pa.int32()), pa.array(pairs), pa.array(n)], names=["part", "pair", "n"])
+            met.clear()
+
+        for b in batches:
+            read: dict[int, list] = {}
+            for part, text, drop in zip(*(b.column(k).to_pylist() for k in range(3))):
+                page = []
+                for w in tokens(text, drop):
+                    k = memo.get(w)
+                    if k is None:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        k = memo[w] = code_of(w)
+                    page.append(k)
+                read.setdefault(part, []).append(page)
+            for part, own in read.items():
+                met.setdefault(part, []).append(pairs_of(own))
+            if sum(len(p) for own in met.values() for p, _ in own) > 1 << 22:
+                yield from gathered()
+        yield from gathered()
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pair")
+        rows, v, u, n = train_pairs(table.column("pair").to_numpy(), table.column("n").to_numpy())
+        v, u = (m * n[:, None].astype(np.float32) for m in (v, u))
+        return pa.table({"row": pa.array(rows, pa.int32()), "v": _lists(v), "u": _lists(u), "n": pa.array(n, pa.int64())})
+
+    def total(batches):
+        n, sums = np.zeros(ROWS), np.zeros((2, ROWS, SIZE))
+        for b in batches:
+            rows = b.column(0).to_numpy()
+            np.add.at(n, rows, b.column(3).to_numpy())
+            for k in range(2):
+                np.add.at(sums[k], rows, b.column(1 + k).flatten().to_numpy().reshape(-1, SIZE))
+        rows = np.flatnonzero(n)
+        v, u = (sums[k][rows] / n[rows, None] for k in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), _lists(v.astype(np.float32)), _lists(u.astype(np.float32)), pa.array(n[rows].astype(np.int64))], names=["row", "v", "u", "n"])
 
-    table = some.select("page_id", "text", "drop").repartition(PARTS, "page_id").select("text", "drop").mapInArrow(run, fields).toArrow()  # at most PARTS * ROWS rows
-    v, u, weight = np.zeros((ROWS, SIZE), np.float32), np.zeros((ROWS, SIZE), np.float32), np.zeros(ROWS)
+    fields = "row int, v array<float>, u array<float>, n bigint"
+    pairs = dealt.mapInArrow(count, "part int, pair bigint, n bigint").groupBy("part", "pair").agg(F.sum("n").alias("n"))
+    learnt = pairs.groupBy("part").applyInArrow(fit, fields)
+    table = learnt.repartition(PARTS, "row").mapInArrow(total, fields).toArrow()  # at most ROWS rows
+    v, u = np.zeros((ROWS, SIZE), np.float32), np.zeros((ROWS, SIZE), np.float32)
     if table.num_rows:
-        rows, n = table.column("row").to_numpy(), table.column("n").to_numpy().astype(np.float64)
-        flat = lambda c: np.asarray(table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, SIZE)
-        np.add.at(weight, rows, n)
-        np.add.at(v, rows, flat("v") * n[:, None].astype(np.float32))
-        np.add.at(u, rows, flat("u") * n[:, None].astype(np.float32))
-        at = weight > 0
-        v[at] /= weight[at, None].astype(np.float32)
-        u[at] /= weight[at, None].astype(np.float32)
+        rows = table.column("row").to_numpy()
+        for m, c in ((v, "v"), (u, "u")):
+            m[rows] = np.asarray(table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, SIZE)
     return Model(v, u)
 
 
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(m.ravel(), pa.float32()), SIZE).cast(pa.list_(pa.float32()))
+
+
 class Judge:
     """Decides occurrences; holds the links of the words that a worker meets often."""
 

@@ -9,15 +9,14 @@
    both spellings.
 3. Misreadings (``misreadings``): words that are written with the same pen strokes are
    linked where plausible glyph edits turn one into the other; skip-gram vectors with
-   negative sampling are learnt on parts of a bounded sample of pages and averaged.
+   negative sampling are learnt on the neighbours of words in all pages, part by part, and averaged.
    Every occurrence of a doubtful word is judged by itself: the prior odds of a
    misreading, from the counts of both words in all pages, and the fit of both words
    to the words around this occurrence decide whether it stays and which word it is.
 4. Reflow: furniture is dropped, breaks are joined, words corrected, lines and
    pages run on within a paragraph.
 
-Pages are read by Python twice as a whole (edges; words), once more for their doubtful
-words, and a sample of them for the vectors.
+Pages are read by Python four times as a whole: for edges, words, neighbours and doubtful words.
 
 Defined results: null and empty texts have no lines and no noise; pages without a
 number are not joined to a following page; a page delivered twice counts once;

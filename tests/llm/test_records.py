@@ -295,6 +295,17 @@ def test_vectors_tell_contexts_apart():
     assert fits[0] > fits[1] and len(model.fit(["red"], [])) == 1 and misreadings.train([])[0].size == 0
 
 
+def test_vectors_are_learnt_on_all_pages(spark):
+    name = lambda k: "w" + "".join(chr(97 + int(c)) for c in str(k))
+    rows = [(k, f"{name(k)} river {name(k)}", []) for k in range(6000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, text string, drop array<int>")
+    model = misreadings.learn(pages, lambda text, drop: text.split())
+    assert all(model.of(name(k))[2] for k in range(6000))
+    pairs, times = misreadings.pairs_of([[1, 2, 1], [2, 1], []])
+    assert [(p >> 30, p & (1 << 30) - 1, n) for p, n in zip(pairs.tolist(), times.tolist())] == [(1, 1, 1), (1, 2, 3)]
+    assert misreadings.learn(pages.where("page_id < 0"), lambda text, drop: text.split()).v.any() == False  # noqa: E712
+
+
 def test_signs_within_words_are_corrected(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("bdgkmp") + rng.choice("aeou") for _ in range(4))
