@@ -103,6 +103,20 @@ def test_profiles_are_learnt_and_decide(spark):
     assert quality.fit(spark.createDataFrame([(1, PROSE, None, 2)], "doc_id bigint, text string, lang string, kind int")).kinds_of([PROSE]) == ["prose"]
 
 
+def test_profiles_are_drawn_to_all_texts(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit(PROSE).alias("text"), F.lit("en").alias("lang"))
+    texts = quality.stored(docs)
+    learnt = quality.learn(texts)
+    x, counted, _ = quality.vectors([PROSE])
+    near = quality.divergences(x, learnt.first).argmin()
+    hold = quality.HOLD * 9000 / quality.OF
+    assert learnt.profiles[near] == pytest.approx((9000 * x[0] + hold * learnt.first[near]) / (9000 + hold), abs=1e-6)
+    first, own = quality.Profiles().words["en"], counted[0].known
+    weights = {w: p * 200 + 9000 * own.get(w, 0) for w, p in first.items()}
+    assert learnt.words["en"]["the"] == pytest.approx(weights["the"] / sum(weights.values()), rel=1e-9)  # every text counts
+    assert quality.found(texts, learnt).count() == 0
+
+
 def test_labels():
     assert [label_language(x) for x in ("en", "EN-us", "eng", "English", " German ", "pt_BR")] == ["en", "en", "en", "en", "de", "pt"]
     assert [label_language(x) for x in (None, "", "und", "unknown", "xx")] == [None] * 5
