@@ -2,9 +2,11 @@
 
 The network: byte embedding, filters of several widths, max pooling over a
 window and a softmax over languages.  It is trained in numpy on windows of
-``WINDOW`` blocks of ``BLOCK`` bytes, cut from a bounded sample of labelled rows
-(``TRAIN_ROWS`` rows per language, the first ``TRAIN_BYTES`` bytes of each), and
-applied to all windows of that length, one a block, of the whole of every text.
+``WINDOW`` blocks of ``BLOCK`` bytes and applied to all windows of that length, one a
+block, of the whole of every text.  The training begins on some labelled rows
+(``TRAIN_ROWS`` rows per language, the first ``TRAIN_BYTES`` bytes of each), which give
+the network that every part of the table begins with; each part then goes once over
+all windows of its labelled rows, and the networks of the parts are averaged.
 
 A unit (a sentence, quotation or line; a longer run without such an end is parted at
 its clauses or spaces every ``LONG`` bytes) is scored by the mean of the windows
@@ -18,6 +20,7 @@ equal passages; bytes count in the UTF-8 text as it is.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -28,8 +31,9 @@ from pyspark.sql import functions as F
 from skein.llm.lexicon import LANGUAGE_NAMES, LANGUAGES, label_language
 from skein.llm.quality import Profiles
 
-TRAIN_ROWS = 220  # labelled rows per language that the network is fitted on
+TRAIN_ROWS = 220  # labelled rows per language that the training begins on
 TRAIN_BYTES = 3000  # bytes of each such row
+RATE, CHUNK = 5e-4, 1 << 14  # step of the pass over all rows; windows that are mixed in it
 EMBED, WIDTHS, FILTERS = 8, (2, 3, 4), 12  # filters of each width
 BLOCK, WINDOW = 8, 6
 MIN_WORDS = 12
@@ -40,6 +44,9 @@ _UNIT = re.compile(rb"(?<=[.!?])[\"')\]]*\s+|\n\s*|\xe2\x80[\x9c\x9d\x9e]|\xc2[\
 _SPAN = max(WIDTHS)
 
 
+_PARTS = ("embed", "conv", "bias", "out", "out_bias")
+
+
 class ByteCNN:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -83,13 +90,18 @@ class ByteCNN:
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 4e-3, seed: int = 7) -> None:
-        """Adam over windows (bytes, one row each) by cross entropy with label smoothing."""
+    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 4e-3, seed: int = 7, weights: np.ndarray | None = None, state: list | None = None) -> None:
+        """Adam over windows (bytes, one row each) by cross entropy with label smoothing.
+
+        With ``weights`` of the languages a window counts as its language does, and not at all
+        where the network assigns it elsewhere; ``state`` is carried from call to call.
+        """
         rng = np.random.default_rng(seed)
-        names = ("embed", "conv", "bias", "out", "out_bias")
-        first = {k: np.zeros_like(getattr(self, k)) for k in names}
-        second = {k: np.zeros_like(getattr(self, k)) for k in names}
-        step, length = 0, windows.shape[1] - _SPAN + 1
+        names = _PARTS
+        if not state:
+            state = state if state is not None else []
+            state += [{k: np.zeros_like(getattr(self, k)) for k in names}, {k: np.zeros_like(getattr(self, k)) for k in names}, 0]
+        first, second, step = state
         self._tables = None
         for epoch in range(epochs):
             order = rng.permutation(len(windows))
@@ -107,6 +119,8 @@ class ByteCNN:
                 target = np.full_like(p, 0.04 / p.shape[1])
                 target[np.arange(len(yb)), yb] += 0.96
                 dz = (p - target) / len(yb)
+                if weights is not None:
+                    dz *= (weights[yb] * (p.argmax(axis=1) == yb)).astype(np.float32)[:, None]
                 grads = {"out": hidden.T @ dz, "out_bias": dz.sum(0)}
                 dh = (dz @ self.out.T) * (top > 0)
                 picked = cols[np.arange(len(yb))[:, None], arg]  # batch, filter, span * embed
@@ -122,6 +136,7 @@ class ByteCNN:
                     first[k] = 0.9 * first[k] + 0.1 * grads[k]
                     second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
                     getattr(self, k)[...] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+        state[2] = step
 
 
 def _bytes(text: str) -> bytes:
@@ -167,7 +182,7 @@ def train(labelled: list[tuple[str, str]], length: int = BLOCK * WINDOW, each: i
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> ByteCNN:
-    """Fits the network on a bounded, hashed sample of the labelled rows."""
+    """Fits the network on all labelled rows, beginning with some of them."""
     names = {name: code for code, more in LANGUAGE_NAMES.items() for name in (code, *more)}
     known = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
     code = known[F.lower(F.trim(F.split(F.col(label_col), "[-_]")[0]))]
@@ -183,7 +198,56 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
     for r in taken.orderBy("chance").limit(2 * TRAIN_ROWS * len(LANGUAGES)).collect():
         if len(mine := best.setdefault(r["code"], [])) < TRAIN_ROWS:
             mine.append((r["text"], r["code"]))
-    return train([x for mine in best.values() for x in mine])
+    return refine(train([x for mine in best.values() for x in mine]), rows.select("code", "text"), counts)
+
+
+def windows_of(text: str) -> np.ndarray:
+    """All whole windows of a text, side by side."""
+    data = np.frombuffer(_bytes(text), np.uint8)
+    n = len(data) // (BLOCK * WINDOW)
+    return data[: n * BLOCK * WINDOW].reshape(n, BLOCK * WINDOW)
+
+
+def refine(net: ByteCNN, rows: DataFrame, counts: dict[str, int]) -> ByteCNN:
+    """The mean of the networks that the parts of ``(code, text)`` reach in one pass over all their windows, by the windows they used."""
+    weights = np.array([sum(counts.values()) / len(counts) / counts[k] if counts.get(k) else 0.0 for k in LANGUAGES])
+
+    def run(batches):
+        own, state, used = pickle.loads(pickle.dumps(net)), [], 0
+        x: list[np.ndarray] = []
+        y: list[int] = []
+
+        def step():
+            own.fit(np.concatenate(x), np.array(y), epochs=1, rate=RATE, weights=weights, state=state)
+            x.clear()
+            y.clear()
+
+        for b in batches:
+            for code, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for cut in np.split(w := windows_of(text or ""), range(CHUNK, len(w), CHUNK)):
+                    if len(cut):
+                        x.append(cut)
+                        y += [LANGUAGES.index(code)] * len(cut)
+                        used += len(cut)
+                        if len(y) >= CHUNK:
+                            step()
+        if y:
+            step()
+        if used:
+            flat = np.concatenate([getattr(own, k).ravel() for k in _PARTS])
+            yield pa.RecordBatch.from_arrays([pa.array([used], pa.int64()), pa.array([flat.tolist()], pa.list_(pa.float32()))], names=["n", "net"])
+
+    table = rows.mapInArrow(run, "n bigint, net array<float>").toArrow()  # a row of some thousand numbers a part
+    if table.num_rows:
+        n = table.column("n").to_numpy().astype(np.float64)
+        mean = (np.array(table.column("net").to_pylist()) * (n / n.sum())[:, None]).sum(axis=0)
+        at = 0
+        for k in _PARTS:
+            m = getattr(net, k)
+            m[...] = mean[at : at + m.size].reshape(m.shape)
+            at += m.size
+        net._tables = None
+    return net
 
 
 def _units(data: bytes) -> list[int]:

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("skein.llm")
@@ -153,6 +154,26 @@ def test_language_on_held_out_rows(spark, profiles):
     assert language.fit(small.where("doc_id < 0")).out.shape[1] == len(LANGUAGES)
 
 
+def test_network_is_fitted_on_all_rows(spark):
+    net = language.ByteCNN()
+    english, dutch = "the river lifts the stone and the garden " * 3, "het water van de rivier is koud en het " * 3
+    for _ in range(2):
+        x = np.concatenate([language.windows_of(english), language.windows_of(dutch)])
+        net.fit(x, np.array([LANGUAGES.index("en")] * len(language.windows_of(english)) + [LANGUAGES.index("nl")] * len(language.windows_of(dutch))), epochs=60)
+    before = {k: getattr(net, k).copy() for k in language._PARTS}
+    rows = spark.createDataFrame([("en", english), ("nl", dutch)] * 40, "code string, text string")
+    x, y = language.windows_of(english), LANGUAGES.index("en")
+    loss = lambda n: -n.log_probs(n.pooled(np.ascontiguousarray(x).reshape(-1)).reshape(len(x), language.WINDOW, -1).max(axis=1))[:, y].mean()
+    old = loss(net)
+    net = language.refine(net, rows, {"en": 40, "nl": 40})
+    assert any((getattr(net, k) != before[k]).any() for k in language._PARTS) and loss(net) < old + 0.02
+    long = "a" * language.TRAIN_BYTES + "b" * 480  # the whole of a row is read
+    assert len(language.windows_of(long)) == len(long) // (language.BLOCK * language.WINDOW)
+    none = {k: getattr(net, k).copy() for k in language._PARTS}
+    net = language.refine(net, rows.where("code is null"), {"en": 40})
+    assert all((getattr(net, k) == none[k]).all() for k in language._PARTS)
+
+
 def sentence(rng):
     words = "river stone valve copper garden silent window market lantern orbit spindle meadow harvest crystal pebble cannon ribbon turbine".split()
     return "The " + " ".join(rng.choice(words) for _ in range(9)) + " of " + rng.choice(words) + ". "
