@@ -8,6 +8,10 @@ block, of the whole of every text.  The training begins on some labelled rows
 the network that every part of the table begins with; each part then goes once over
 all windows of its labelled rows, and the networks of the parts are averaged.
 
+What a filter gives to a span of bytes is the sum of what it gives to two pairs of bytes,
+which are looked up; its gradient is gathered by byte and place and multiplied out once
+for all windows of a step.
+
 A unit (a sentence, quotation or line; a longer run without such an end is parted at
 its clauses or spaces every ``LONG`` bytes) is scored by the mean of the windows
 inside it, and the languages of the units of a text are those of the best path, on
@@ -40,9 +44,10 @@ MIN_WORDS = 12
 CHANGE, LONG = 5.0, 96  # nats that a change of language costs; bytes beyond which a unit is parted
 SEGMENT_SCHEMA = "doc_id bigint, label string, seg_no int, lang string, start_byte int, end_byte int, n_words int, confidence double"
 
-_UNIT = re.compile(rb"(?<=[.!?])[\"')\]]*\s+|\n\s*|\xe2\x80[\x9c\x9d\x9e]|\xc2[\xab\xbb]|\"|(?<=[,;:])\s+(?=\xe2\x80)")
+# An end of a sentence, a line, a quotation mark or a clause before a quotation; the set of bytes that it begins with is searched for fast.
+_UNIT = re.compile(rb"[.!?\n\xe2\xc2\",;:](?:(?<=[.!?])[\"')\]]*\s+|(?<=\n)\s*|(?<=\xe2)\x80[\x9c\x9d\x9e]|(?<=\xc2)[\xab\xbb]|(?<=\")|(?<=[,;:])\s+(?=\xe2\x80))")
 _SPAN = max(WIDTHS)
-
+_ROWS, _PLACES = 1024, 15  # blocks that are looked up at once; places of windows
 
 _PARTS = ("embed", "conv", "bias", "out", "out_bias")
 
@@ -62,11 +67,14 @@ class ByteCNN:
         self.out_bias = np.zeros(len(LANGUAGES), np.float32)
         self._tables = None
 
+    def _tables_of(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the first two and the last two bytes of a span add to each filter, for each of the given pairs of bytes."""
+        each = [self.embed @ self.conv[o * EMBED : (o + 1) * EMBED] for o in range(_SPAN)]
+        return tuple(each[o][pairs >> 8] + each[o + 1][pairs & 255] for o in (0, 2))
+
     def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """What the first two and the last two bytes of a span add to each filter, for every pair of bytes."""
         if self._tables is None:
-            each = [self.embed @ self.conv[o * EMBED : (o + 1) * EMBED] for o in range(_SPAN)]
-            self._tables = tuple(np.ascontiguousarray((each[o][:, None] + each[o + 1][None]).reshape(1 << 16, -1)) for o in (0, 2))
+            self._tables = self._tables_of(np.arange(1 << 16))
         return self._tables
 
     def __getstate__(self):
@@ -75,15 +83,49 @@ class ByteCNN:
     def pooled(self, data: np.ndarray) -> np.ndarray:
         """Filter maxima of each block of bytes; len(data) is a multiple of BLOCK."""
         first, last = self._pairs()
-        padded = np.concatenate([data, np.full(_SPAN, 32, np.uint8)]).astype(np.int32)
+        padded = np.concatenate([data, np.full(_SPAN, 32, np.uint8)]).astype(np.int64)
         pair = padded[:-1] << 8 | padded[1:]
-        blocks, step = [], 256 * BLOCK
-        for at in range(0, len(data), step):
-            end = min(at + step, len(data))
-            y = first[pair[at:end]]
-            y += last[pair[at + 2 : end + 2]]
-            blocks.append(y.reshape(-1, BLOCK, y.shape[1]).max(axis=1))
-        return np.maximum(np.concatenate(blocks) + self.bias, 0)
+        out = np.empty((len(data) // BLOCK, len(self.bias)), np.float32)
+        a, b = np.empty((2, _ROWS, len(self.bias)), np.float32)
+        for at in range(0, len(out), _ROWS):
+            best = out[at : at + _ROWS]
+            n = len(best)
+            for o in range(BLOCK):  # the spans that begin at this place of the blocks
+                begin = at * BLOCK + o
+                y = best if o == 0 else a[:n]
+                first.take(pair[begin : begin + n * BLOCK : BLOCK], axis=0, out=y, mode="clip")
+                last.take(pair[begin + 2 : begin + 2 + n * BLOCK : BLOCK], axis=0, out=b[:n], mode="clip")
+                y += b[:n]
+                if o:
+                    np.maximum(best, y, out=best)
+        out += self.bias
+        return np.maximum(out, 0, out=out)
+
+    def _maxima(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Maximum of each filter over each window, and the place where it begins."""
+        x = windows.T.astype(np.int64)  # one row for each place
+        pair = x[:-1] << 8 | x[1:]
+        there = np.zeros(1 << 16, bool)
+        there[pair] = True
+        used = np.flatnonzero(there)
+        first, last = self._tables_of(used)
+        code = np.empty(1 << 16, np.int64)
+        code[used] = np.arange(len(used))
+        pair = code[pair]
+        n, places = len(windows), len(pair) - 2
+        a, b = np.empty((2, _PLACES, n, len(self.bias)), np.float32)
+        top, arg = np.full(a.shape[1:], -np.inf, np.float32), np.zeros(a.shape[1:], np.int64)
+        for o in range(0, places, _PLACES):
+            g = min(_PLACES, places - o)
+            y = a[:g]
+            first.take(pair[o : o + g], axis=0, out=y, mode="clip")
+            last.take(pair[o + 2 : o + 2 + g], axis=0, out=b[:g], mode="clip")
+            y += b[:g]
+            best = y.max(axis=0)
+            left = ((y == best).view(np.uint8) * np.arange(g, 0, -1, np.uint8)[:, None, None]).max(axis=0)  # the first of equal ones is the greatest number
+            np.copyto(arg, o + g - left.astype(np.int64), where=best > top)
+            np.maximum(top, best, out=top)
+        return top + self.bias, arg
 
     def log_probs(self, features: np.ndarray) -> np.ndarray:
         z = features @ self.out + self.out_bias
@@ -108,12 +150,7 @@ class ByteCNN:
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
                 xb, yb = windows[rows], labels[rows]
-                length = xb.shape[1] - _SPAN + 1
-                e = self.embed[xb]
-                cols = np.concatenate([e[:, o : o + length] for o in range(_SPAN)], axis=2)
-                y = cols @ self.conv + self.bias
-                arg = y.argmax(axis=1)
-                top = np.take_along_axis(y, arg[:, None, :], 1)[:, 0]
+                top, arg = self._maxima(xb)
                 hidden = np.maximum(top, 0)
                 p = np.exp(self.log_probs(hidden))
                 target = np.full_like(p, 0.04 / p.shape[1])
@@ -123,14 +160,10 @@ class ByteCNN:
                     dz *= (weights[yb] * (p.argmax(axis=1) == yb)).astype(np.float32)[:, None]
                 grads = {"out": hidden.T @ dz, "out_bias": dz.sum(0)}
                 dh = (dz @ self.out.T) * (top > 0)
-                picked = cols[np.arange(len(yb))[:, None], arg]  # batch, filter, span * embed
-                grads["conv"] = np.einsum("bfk,bf->kf", picked, dh) * self.mask
                 grads["bias"] = dh.sum(0)
-                dcols = dh[:, :, None] * self.conv.T[None]
-                de = np.zeros_like(self.embed)
-                for o in range(_SPAN):
-                    np.add.at(de, xb[np.arange(len(yb))[:, None], arg + o].ravel(), dcols[:, :, o * EMBED : (o + 1) * EMBED].reshape(-1, EMBED))
-                grads["embed"] = de
+                by = _by_byte(xb, arg, dh)
+                grads["conv"] = np.concatenate([self.embed.T @ x for x in by]) * self.mask
+                grads["embed"] = sum(x @ self.conv[o * EMBED : (o + 1) * EMBED].T for o, x in enumerate(by))
                 step += 1
                 for k in names:
                     first[k] = 0.9 * first[k] + 0.1 * grads[k]
@@ -139,6 +172,17 @@ class ByteCNN:
         state[2] = step
 
 
+def _by_byte(windows: np.ndarray, arg: np.ndarray, dh: np.ndarray) -> list[np.ndarray]:
+    """For each place of a span, the sums of ``dh`` (of windows and filters) by the byte there, where a span begins at ``arg``."""
+    flat, begin, n = np.ascontiguousarray(windows).reshape(-1), arg + np.arange(len(windows))[:, None] * windows.shape[1], dh.shape[1]
+    out = []
+    for o in range(_SPAN):
+        low = sum(width <= o for width in WIDTHS) * FILTERS  # the filters before are narrower
+        key = flat[begin[:, low:] + o].astype(np.int64) * n + np.arange(low, n)
+        out.append(np.bincount(key.reshape(-1), dh[:, low:].reshape(-1), 256 * n).reshape(256, n).astype(np.float32))
+    return out
+
+
 def _bytes(text: str) -> bytes:
     """Lower case where that keeps the length in bytes, digits as one sign."""
     low = text.lower()
@@ -270,22 +314,17 @@ def _units(data: bytes) -> list[int]:
 
 def _path(scores: np.ndarray) -> np.ndarray:
     """The best languages of consecutive units, where each change costs CHANGE."""
-    top = scores.argmax(axis=1)
-    if (top == top[0]).all():
-        return top
-    n, k = scores.shape
-    back = np.zeros((n, k), np.int64)
-    best = scores[0].copy()
-    for i in range(1, n):
-        j = int(best.argmax())
-        moved = best[j] - CHANGE
-        stay = best >= moved
-        back[i] = np.where(stay, np.arange(k), j)
-        best = np.where(stay, best, moved) + scores[i]
-    out = np.empty(n, np.int64)
-    out[-1] = best.argmax()
-    for i in range(n - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
+    first, *rest = scores.tolist()  # of few languages, for which lists are faster than arrays
+    best, back = first, []
+    for row in rest:
+        most = max(best)
+        j, moved = best.index(most), most - CHANGE
+        back.append([i if x >= moved else j for i, x in enumerate(best)])
+        best = [(x if x >= moved else moved) + y for x, y in zip(best, row)]
+    out = np.empty(len(scores), np.int64)
+    at = out[-1] = best.index(max(best))
+    for i in range(len(back) - 1, -1, -1):
+        at = out[i] = back[i][at]
     return out
 
 
@@ -332,19 +371,23 @@ def passages(net: ByteCNN, texts: list[str | None]) -> list[list[tuple[str, int,
     words = begins[e - 1] - np.where(s > 0, begins[np.maximum(s - 1, 0)], 0)
     weight = np.where(words > 0, weight, 0)
     scores = mean * weight[:, None]
-    bounds = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1], [True]]))
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if not words[a:b].any():
-            continue
-        langs = _path(scores[a:b])
-        cuts = np.flatnonzero(np.concatenate([[True], langs[1:] != langs[:-1], [True]]))
-        origin = int(s[a])
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            z = scores[a + i : a + j].sum(axis=0) / max(1e-9, float(weight[a + i : a + j].sum()))
-            p = np.exp(z - z.max())
-            out[int(who[a])].append(
-                (LANGUAGES[langs[i]], int(s[a + i]) - origin, int(e[a + j - 1]) - origin, int(words[a + i : a + j].sum()), float(p[langs[i]] / p.sum()))
-            )
+    top = scores.argmax(axis=1)
+    begins = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))  # of the texts
+    last = np.append(begins[1:], len(who))
+    mixed = np.add.reduceat(np.concatenate([[False], (top[1:] != top[:-1]) & (who[1:] == who[:-1])]), begins, dtype=np.int64) > 0
+    worded = np.add.reduceat(words, begins) > 0
+    for a, b in zip(begins[mixed & worded].tolist(), last[mixed & worded].tolist()):
+        top[a:b] = _path(scores[a:b])
+    cut = np.flatnonzero(np.concatenate([[True], (top[1:] != top[:-1]) | (who[1:] != who[:-1])]))  # of the passages
+    z = np.add.reduceat(scores, cut, axis=0) / np.maximum(1e-9, np.add.reduceat(weight, cut))[:, None]
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    lang = top[cut]
+    sure = p[np.arange(len(cut)), lang] / p.sum(axis=1)
+    origin = np.repeat(s[begins], last - begins)
+    ends_at = e[np.append(cut[1:], len(who)) - 1] - origin[cut]
+    for k, worth, *row in zip(who[cut].tolist(), np.repeat(worded, last - begins)[cut].tolist(), lang.tolist(), (s[cut] - origin[cut]).tolist(), ends_at.tolist(), np.add.reduceat(words, cut).tolist(), sure.tolist()):
+        if worth:
+            out[k].append((LANGUAGES[row[0]], *row[1:]))
     return out
 
 

@@ -174,6 +174,75 @@ def test_network_is_fitted_on_all_rows(spark):
     assert all((getattr(net, k) == none[k]).all() for k in language._PARTS)
 
 
+def plain_fit(net, windows, labels, batch, rate):
+    """One pass of Adam with every span written out."""
+    rng, names, step, span, size = np.random.default_rng(7), language._PARTS, 0, language._SPAN, language.EMBED
+    first, second = ({k: np.zeros_like(getattr(net, k)) for k in names} for _ in range(2))
+    order = rng.permutation(len(windows))
+    for at in range(0, len(order), batch):
+        xb, yb = windows[order[at : at + batch]], labels[order[at : at + batch]]
+        each, length = np.arange(len(yb)), xb.shape[1] - span + 1
+        e = net.embed[xb]
+        cols = np.concatenate([e[:, o : o + length] for o in range(span)], axis=2)
+        y = cols @ net.conv + net.bias
+        arg, top = y.argmax(axis=1), y.max(axis=1)
+        p = np.exp(net.log_probs(np.maximum(top, 0)))
+        target = np.full_like(p, 0.04 / p.shape[1])
+        target[each, yb] += 0.96
+        dz = (p - target) / len(yb)
+        dh = (dz @ net.out.T) * (top > 0)
+        grads = {"out": np.maximum(top, 0).T @ dz, "out_bias": dz.sum(0), "bias": dh.sum(0), "embed": np.zeros_like(net.embed)}
+        grads["conv"] = np.einsum("bfk,bf->kf", cols[each[:, None], arg], dh) * net.mask
+        for o in range(span):
+            np.add.at(grads["embed"], xb[each[:, None], arg + o].ravel(), (dh[:, :, None] * net.conv.T[None])[:, :, o * size : (o + 1) * size].reshape(-1, size))
+        step += 1
+        for k in names:
+            first[k] = 0.9 * first[k] + 0.1 * grads[k]
+            second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
+            getattr(net, k)[...] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+
+
+def test_network_is_fitted_as_plainly_in_less_time():
+    import time
+
+    rng, took = np.random.default_rng(3), {plain_fit: [], language.ByteCNN.fit: []}
+    rows = np.concatenate([language.windows_of(PROSE * 300), rng.integers(0, 256, (100, 48), np.uint8)])
+    labels = rng.integers(0, len(LANGUAGES), len(rows))
+    for _ in range(3):
+        nets = []
+        for f, more in ((plain_fit, {}), (language.ByteCNN.fit, {"epochs": 1})):
+            nets.append(language.ByteCNN())
+            began = time.thread_time()
+            f(nets[-1], rows, labels, batch=256, rate=4e-3, **more)
+            took[f].append(time.thread_time() - began)
+        assert all(np.allclose(getattr(nets[0], k), getattr(nets[1], k), atol=1e-4) for k in language._PARTS)
+    assert min(took[language.ByteCNN.fit]) < 0.6 * min(took[plain_fit])  # both alike before
+    net, data = nets[1], np.ascontiguousarray(rows[:150]).reshape(-1)
+    e = net.embed[np.concatenate([data, np.full(3, 32, np.uint8)])]
+    y = np.concatenate([e[o : o + len(data)] for o in range(4)], axis=1) @ net.conv + net.bias
+    assert np.allclose(net.pooled(data), np.maximum(y, 0).reshape(-1, language.BLOCK, y.shape[1]).max(axis=1), atol=1e-4)
+
+
+def test_units_end_where_their_signs_do():
+    import re
+
+    plain = re.compile(rb"(?<=[.!?])[\"')\]]*\s+|\n\s*|\xe2\x80[\x9c\x9d\x9e]|\xc2[\xab\xbb]|\"|(?<=[,;:])\s+(?=\xe2\x80)")
+    rng, signs = random.Random(2), [b".", b"!", b'"', b"'", b")", b" ", b"\n", b"\t", b"\xe2\x80\x9c", b"\xe2\x80", b"\xe2", b"\xc2\xab", b"\xc2", b",", b":", b"a"]
+    for _ in range(20_000):
+        data = b"".join(rng.choices(signs, k=rng.randint(1, 12)))
+        assert [m.end() for m in language._UNIT.finditer(data)] == [m.end() for m in plain.finditer(data)], data
+
+
+def test_nearest_profiles_are_those_of_the_divergences(profiles):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([profiles.profiles, (profiles.profiles[:-1] + profiles.profiles[1:]) / 2, rng.dirichlet(np.full(quality._SIZE, 0.2), 200)])  # the second lie between two
+    assert (quality.nearest(x, profiles.profiles) == quality.divergences(x, profiles.profiles).argmin(axis=1)).all()
+    assert len(quality.nearest(x[:0], profiles.profiles)) == 0
+    assert all(quality._words(t.lower()) == quality._WORD.findall(t.lower()) for t in ODD if t)
+    letters = "".join(map(chr, range(128)))
+    assert quality._words(letters) == quality._WORD.findall(letters)
+
+
 def sentence(rng):
     words = "river stone valve copper garden silent window market lantern orbit spindle meadow harvest crystal pebble cannon ribbon turbine".split()
     return "The " + " ".join(rng.choice(words) for _ in range(9)) + " of " + rng.choice(words) + ". "
